@@ -7,14 +7,16 @@
    already connected are left out: the cost is linear in the bucket.
 4. What then still holds unconnected nodes is compared in blocks: a bucket's
    members are cut into chunks of bounded size, and each pair of chunks is a
-   group of its own. So no candidate pair of different components is left out
-   and no task holds a bucket.
+   group of its own, which checks each pair of different components in the first
+   band that the pair shares, and returns a forest of links. So no candidate
+   pair of different components is left out, no task holds a bucket, and pairs
+   are no rows.
 5. A pair is a link if its exact similarity over shingles of five words is at
    least the threshold. Classes are the connected components of links.
 
 A pair of the threshold's similarity 0.8 shares no band with probability below
 1e-7. Darts are cut to 8 bits for a first estimate; pairs estimated more than
-0.2 below the threshold (over five standard deviations) are not compared exactly.
+0.15 below the threshold (over four standard deviations) are not compared exactly.
 """
 
 from __future__ import annotations
@@ -28,9 +30,9 @@ from pyspark.sql import functions as F
 from tessera.llm.common import Memo, Written, connected_components, map_rows, read
 from tessera.llm.dart_sketch import K, WORDS, band_keys, shingles, signatures, similarity, word_hash, words_of
 
-THRESHOLD, SLACK = 0.8, 0.2
+THRESHOLD, SLACK = 0.8, 0.15
 #: Rounds of pivots, and members of a chunk of what these leave.
-ROUNDS, CHUNK = 3, 256
+ROUNDS, CHUNK = 2, 512
 
 
 def _weighed(x, counts, weights: str):
@@ -118,26 +120,38 @@ def _open(members: DataFrame) -> DataFrame:
     return members.groupBy("band", "key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n"), *seeds).where("lo <> hi").drop("lo", "hi")
 
 
-def _blocks(members: DataFrame, buckets: DataFrame, darts: DataFrame, least: float, chunk: int) -> DataFrame:
-    """Pairs (x, y) of different components in a bucket whose darts agree well enough."""
-    rows = members.join(buckets.select("band", "key", F.ceil(F.col("n") / chunk).cast("int").alias("chunks")), ["band", "key"]).join(darts, "node")
+def _blocks(members: DataFrame, buckets: DataFrame, known: DataFrame, threshold: float, words: int, weights: str, chunk: int) -> DataFrame:
+    """Links (x, y) that connect nodes of different components which share a bucket."""
+    rows = members.join(buckets.select("band", "key", F.ceil(F.col("n") / chunk).cast("int").alias("chunks")), ["band", "key"]).join(known, "node")
     rows = rows.withColumn("c", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    rows = rows.select("band", "key", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"), "c", "node", "comp", "darts")
+    rows = rows.select("band", "key", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"), "c", "node", "comp", "darts", "bands", "text")
 
     def run(t: pa.Table) -> pa.Table:
         c, node, comp = (t.column(k).to_numpy() for k in ("c", "node", "comp"))
+        i, j, band = (t.column(k)[0].as_py() for k in ("i", "j", "band"))
         darts = np.frombuffer(b"".join(t.column("darts").to_pylist()), np.uint8).reshape(-1, K)
-        i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
-        left, right = np.flatnonzero(c == i), np.flatnonzero(c == j)
-        xs, ys = [], []
-        for a in left:
-            r = right[(comp[right] != comp[a]) & ((node[right] > node[a]) if i == j else True)]
-            r = r[(darts[r] == darts[a]).mean(1) >= least] if len(r) else r
-            xs += [max(node[a], n) for n in node[r]]
-            ys += [min(node[a], n) for n in node[r]]
+        bands = np.array(t.column("bands").to_pylist(), np.int64)
+        texts, hashes, sets = t.column("text"), Memo(word_hash), {}
+
+        def of(a):
+            if a not in sets:
+                sets[a] = _weighed(*shingles(words_of(texts[a].as_py()), hashes.__getitem__, words), weights)
+            return sets[a]
+
+        xs, ys, root = [], [], np.unique(comp, return_inverse=True)[1]
+        right = np.flatnonzero(c == j)
+        for a in np.flatnonzero(c == i):
+            r = right[(root[right] != root[a]) & ((node[right] > node[a]) if i == j else True)]
+            r = r[(darts[r] == darts[a]).mean(1) >= threshold - SLACK]
+            r = r[~(bands[r, :band] == bands[a, :band]).any(1)] if band else r
+            for b in r:
+                if root[b] != root[a] and similarity(of(a), of(b)) >= threshold:
+                    xs.append(max(node[a], node[b]))
+                    ys.append(min(node[a], node[b]))
+                    root[root == root[b]] = root[a]
         return pa.table({"x": pa.array(xs, pa.int64()), "y": pa.array(ys, pa.int64())})
 
-    return rows.groupBy("band", "key", "i", "j").applyInArrow(run, "x long, y long").distinct()
+    return rows.groupBy("band", "key", "i", "j").applyInArrow(run, "x long, y long")
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, words: int = WORDS, weights: str = "distinct", chunk: int = CHUNK, rounds: int = ROUNDS) -> tuple[DataFrame, Written]:
@@ -158,9 +172,9 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     keyed = heads.select(F.col("uid").alias("node"), F.posexplode("bands").alias("band", "key"))
     shared = keyed.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1").drop("n")
     members = store.write(keyed.join(shared, ["band", "key"]))
-    known = store.write(rows.withColumnRenamed("uid", "node").join(members.select("node").distinct(), "node").select("node", "text", "darts"))
+    known = store.write(rows.withColumnRenamed("uid", "node").join(members.select("node").distinct(), "node").select("node", "text", "darts", "bands"))
     darts, texts, least = known.select("node", "darts"), known.select("node", "text"), threshold - SLACK
-    comps, links, tested, made = None, None, None, 0
+    comps, links = None, None
     for k in range(rounds + 1):
         labelled = store.write(_labelled(members, comps))
         buckets = store.write(_open(labelled))
@@ -170,13 +184,9 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
             pivots = buckets.select("band", "key", F.col(f"p{k % 3}").alias("pivot"))
             met = labelled.join(pivots, ["band", "key"]).where("node <> pivot").select(F.greatest("node", "pivot").alias("x"), F.least("node", "pivot").alias("y")).distinct()
             met = _apart(met, comps)
-            pairs = _estimated(met if tested is None else met.join(tested, ["x", "y"], "left_anti"), darts, least)
+            found = store.write(_verified(_estimated(met, darts, least), texts, threshold, words, weights).where("ok").select("x", "y"))
         else:
-            pairs = _blocks(labelled, buckets, darts, least, chunk)
-            pairs = pairs if tested is None else pairs.join(tested, ["x", "y"], "left_anti")
-        checked = store.write(_verified(pairs, texts, threshold, words, weights))
-        tested = checked.select("x", "y") if tested is None else tested.union(checked.select("x", "y"))
-        found = checked.where("ok").select("x", "y")
+            found = store.write(_blocks(labelled, buckets, known, threshold, words, weights, chunk))
         links = found if links is None else links.union(found)
         comps = store.write(connected_components(links, store, u="x", v="y"))
         members = labelled.join(buckets.select("band", "key"), ["band", "key"], "left_semi").drop("comp")
