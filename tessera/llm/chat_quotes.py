@@ -60,7 +60,7 @@ def link_quotes(messages: DataFrame, *, conv_col: str = "conv_id", turn_col: str
     has = F.coalesce(F.col("whole").rlike(r"(?m)" + _MARK), F.lit(False))
     lines = F.when(has, _lines(F.col("whole")))
     split = rows.withColumn("uid", F.monotonically_increasing_id()).withColumn("lines", lines)
-    own = F.when(F.col("lines").isNull(), F.coalesce("whole", F.lit(""))).otherwise(F.trim(F.array_join(F.transform(F.filter("lines", lambda x: x["level"] == 0), lambda x: x["line"]), "\n")))
+    own = F.when(F.col("lines").isNull(), F.coalesce("whole", F.lit(""))).otherwise(F.regexp_replace(F.array_join(F.transform(F.filter("lines", lambda x: x["level"] == 0), lambda x: x["line"]), "\n"), r"^\s+|\s+$", ""))
     passages = F.when(F.col("lines").isNotNull(), F.filter(_passages(F.col("lines")), lambda p: (p["level"] > 0) & (F.trim(p["line"]) != "")))
     split = store.write(split.select("uid", "conv", "turn", "role", own.alias("text"), passages.alias("quotes")))
     # What quotes ask for: a passage's hash, or that of its first line.
