@@ -107,15 +107,12 @@ def repeated_units(docs: DataFrame, store: Written, *, id_col: str = "doc_id", t
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), _key(F.col(text_col)).alias("key"), F.col(text_col).alias("text")).where("text <> ''")
     found = store.write(map_rows(rows, make, "id long, key long, at int, digest long", "text"))
-    # Two numbers for the earliest place: combined before the shuffle in hash tables of fixed width.
-    place = F.coalesce("id", F.lit(2**63 - 1))
+    # Id and place as one number, so that minima are combined in hash tables before
+    # the shuffle, and one join that can be split where a digest is hot does the rest.
+    place = F.coalesce("id", F.lit(2**63 - 1)).cast("decimal(19,0)") * F.lit(2**31).cast("decimal(10,0)") + F.col("at").cast("decimal(10,0)")
     first = found.groupBy("digest").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1").drop("n")
-    candidates = found.join(first, "digest")
-    # Within the first id the earliest unit stays; elsewhere all are repeated.
-    inner = candidates.where(place == F.col("first")).groupBy("digest").agg(F.min("at").alias("least"))
-    later = candidates.where(place != F.col("first")).select("id", "key", "at")
-    same = candidates.where(place == F.col("first")).join(inner, "digest").where("at > least").select("id", "key", "at")
-    return later.union(same).groupBy("id", "key").agg(F.collect_set("at").alias("repeated"))
+    later = found.join(first, "digest").where(place > F.col("first"))
+    return later.groupBy("id", "key").agg(F.collect_set("at").alias("repeated"))
 
 
 def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size_col: str | None = None, min_words: int = MIN_WORDS, spans_col: str | None = None) -> DataFrame:
