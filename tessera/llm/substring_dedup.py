@@ -111,6 +111,8 @@ def repeated_units(docs: DataFrame, store: Written, *, id_col: str = "doc_id", t
     # the shuffle, and one join that can be split where a digest is hot does the rest.
     place = F.coalesce("id", F.lit(2**63 - 1)).cast("decimal(19,0)") * F.lit(2**31).cast("decimal(10,0)") + F.col("at").cast("decimal(10,0)")
     first = found.groupBy("digest").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1").drop("n")
+    # Written, so that the join has plain exchanges on both sides: only then can a hot digest be split.
+    first = store.write(first)
     later = found.join(first, "digest").where(place > F.col("first"))
     return later.groupBy("id", "key").agg(F.collect_set("at").alias("repeated"))
 
