@@ -20,6 +20,8 @@ normalisation) are handled with dummy prefix, escaped spaces and byte fallback.
 
 from __future__ import annotations
 
+import array
+import hashlib
 import re
 import zlib
 
@@ -35,6 +37,9 @@ NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 #: Entries of a worker's memo of encoded words, and the longest word in it.
 MEMO, MEMO_CHARS = 300_000, 40
+#: Characters before a position by which the pieces that may end there are looked up.
+TAIL = 4
+NEVER = float("-inf")
 
 
 def _fields(data: bytes):
@@ -93,18 +98,23 @@ class Model:
         self.bytes = {int(p[3:5], 16): i for i, (p, t) in enumerate(zip(self.pieces, self.types)) if t == BYTE}
         self.unk = next((i for i, t in enumerate(self.types) if t == UNKNOWN), 0)
         self.unk_score = min(self.scores, default=0.0) - 10.0
+        self.rank = {p: self.scores[i] for p, i in self.vocab.items()}
         self.longest = max(map(len, self.vocab), default=1)
         joined = {p[i : i + 2] for p in self.vocab for i in range(len(p) - 1)}
         #: No piece goes over the start of a run of spaces, or over a line end.
         self.words_apart = not any(x[1] == SPACE and x[0] != SPACE or "\n" in x for x in joined)
         tails: dict[str, set[int]] = {}
         for p in self.vocab:
-            if len(p) > 1:
-                tails.setdefault(p[-2:], set()).add(len(p))
-        #: By last two characters, the lengths of the pieces that end with them, longest first.
-        self.tails = {k: sorted(v, reverse=True) for k, v in tails.items()}
+            if len(p) > TAIL:
+                tails.setdefault(p[-TAIL:], set()).add(len(p))
+        self._tails = {k: sorted(v, reverse=True) for k, v in tails.items()}
         self.decoded = [self._out(i) for i in range(len(self.pieces))]
 
+    def ends(self, tail: str) -> list[tuple[int, str | None]]:
+        """Lengths of the pieces of two characters or more that may end with a tail, longest first; the piece where the tail holds it."""
+        short = [(n, tail[-n:]) for n in range(min(TAIL, len(tail)), 1, -1) if tail[-n:] in self.vocab]
+        return [(n, None) for n in self._tails.get(tail, ())] + short
+
     def _out(self, i: int) -> bytes:
         kind = self.types[i]
         if kind == BYTE:
@@ -113,87 +123,91 @@ class Model:
 
 
 class Codec:
-    """encode() and decode() of whole texts; one for each worker."""
+    """encode() and decode() of whole texts."""
 
     def __init__(self, data: bytes):
         self.model = Model(data)
         self.fits = Memo(self._fit, MEMO)
+        self.ends = Memo(self.model.ends, MEMO)
         self.memo = Memo(self._word, MEMO)
 
-    def _merged(self, s: str) -> list[str]:
-        """BPE of a short string by its merges, best score first, then leftmost."""
-        vocab, scores, parts = self.model.vocab, self.model.scores, list(s)
-        while len(parts) > 1:
-            best = max(((scores[k], -i) for i in range(len(parts) - 1) if (k := vocab.get(parts[i] + parts[i + 1])) is not None), default=None)
-            if best is None:
-                break
-            i = -best[1]
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
-        return parts
-
     def _fit(self, pair: tuple[str, str]) -> bool:
-        """Whether the merges of a pair of pieces, or of a first piece, leave it as it is."""
-        return self._merged(pair[0] + pair[1]) == [p for p in pair if p]
-
-    def _ids(self, piece: str) -> list[int]:
-        k = self.model.vocab.get(piece)
-        if k is not None:
-            return [k]
+        """Whether the merges of a pair of pieces, or of a first piece, leave it as it is: best score first, then leftmost."""
+        rank, parts, left = self.model.rank, list(pair[0] + pair[1]), len(pair[0])
+        joins = [rank.get(x + y, NEVER) for x, y in zip(parts, parts[1:])]
+        while joins and (top := max(joins)) > NEVER:
+            i = joins.index(top)
+            if i == left - 1:
+                return False
+            left -= i < left
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            del joins[i]
+            if i:
+                joins[i - 1] = rank.get(parts[i - 1] + parts[i], NEVER)
+            if i < len(joins):
+                joins[i] = rank.get(parts[i] + parts[i + 1], NEVER)
+        return parts == [p for p in pair if p]
+
+    def _unknown(self, piece: str) -> list[int]:
         return [self.model.bytes[b] for b in piece.encode("utf-8", "replace")] if self.model.bytes else [self.model.unk]
 
     def stream(self, s: str, window: int | None = None):
         """Yield runs of ids of an escaped string as they are committed."""
-        m, vocab, longest, tails, fits = self.model, self.model.vocab, self.model.longest, self.model.tails, self.fits
+        m, vocab, longest, ends, fits = self.model, self.model.vocab, self.model.longest, self.ends, self.fits
         window = window or 2 * longest
-        bpe, unk_score = m.kind == BPE, m.unk_score
-        base, back, last, best = 0, [0], [""], [0.0]  # state of positions base, base + 1, ...
+        bpe, rank, unk_score = m.kind == BPE, m.rank, m.unk_score
+        base, last, best = 0, [""], [0.0]  # state of positions base, base + 1, ...
         for i in range(1, len(s) + 1):
-            found, top = 1, None
-            for n in tails.get(s[i - 2 : i], ()) if i - base > 1 else ():
-                if n > i - base or (k := vocab.get(piece := s[i - n : i])) is None:
-                    continue
-                if bpe:
-                    if fits[last[i - n - base], piece]:
-                        found = n
+            at, chosen = i - base, s[i - 1]
+            if bpe:
+                for n, piece in ends[s[i - TAIL if i > TAIL else 0 : i]]:
+                    if n <= at and (piece or (piece := s[i - n : i]) in vocab) and fits[last[at - n], piece]:
+                        chosen = piece
                         break
-                elif top is None or best[i - n - base] + m.scores[k] > top:
-                    found, top = n, best[i - n - base] + m.scores[k]
-            if not bpe:
-                k = vocab.get(s[i - 1])
-                score = best[i - 1 - base] + (unk_score if k is None else m.scores[k])
-                if top is None or score > top:
-                    found, top = 1, score
-            back.append(i - found)
-            last.append(s[i - found : i])
-            best.append(top or 0.0)
-            if i - base >= window and (i - base) % longest == 0:
-                meet = self._meet(back, base, range(i - longest + 1, i + 1))
-                if meet > base:
-                    yield self._run(back, last, base, meet)
-                    cut = meet - base
-                    back, last, best, base = back[cut:], last[cut:], best[cut:], meet
+            else:
+                top, tied = best[-1] + rank.get(chosen, unk_score), True
+                for n, piece in ends[s[i - TAIL if i > TAIL else 0 : i]]:
+                    if n <= at and (piece or (piece := s[i - n : i]) in vocab):
+                        score = best[at - n] + rank[piece]
+                        if score > top or tied and score == top:
+                            chosen, top, tied = piece, score, False
+                best.append(top)
+            last.append(chosen)
+            if at >= window and at % longest == 0:
+                meet = self._meet(last, range(at - longest + 1, at + 1))
+                if meet > 0:
+                    yield self._run(last, meet)
+                    last, best, base = last[meet:], best[meet:], base + meet
         if s:
-            yield self._run(back, last, base, len(s))
+            yield self._run(last, len(last) - 1)
 
     @staticmethod
-    def _meet(back: list[int], base: int, live: range) -> int:
-        """The last boundary on every path from the live positions back to base."""
+    def _meet(last: list[str], live: range) -> int:
+        """The last boundary on every path from the live positions back to the first."""
         heads = set(live)
         while len(heads) > 1:
             far = max(heads)
             heads.discard(far)
-            heads.add(back[far - base] if far > base else base)
+            heads.add(far - len(last[far]) if far > 0 else 0)
         return heads.pop()
 
-    def _run(self, back: list[int], last: list[str], base: int, end: int) -> list[int]:
+    def _run(self, last: list[str], end: int) -> list[int]:
         parts = []
-        while end > base:
-            parts.append(last[end - base])
-            end = back[end - base]
-        return [x for p in reversed(parts) for x in self._ids(p)]
+        while end > 0:
+            piece = last[end]
+            parts.append(piece)
+            end -= len(piece)
+        get, out = self.model.vocab.get, []
+        for p in reversed(parts):
+            k = get(p)
+            if k is None:
+                out += self._unknown(p)
+            else:
+                out.append(k)
+        return out
 
     def _word(self, s: str) -> bytes:
-        return b"".join(np.array(run, "<i4").tobytes() for run in self.stream(s))
+        return b"".join([array.array("i", run).tobytes() for run in self.stream(s)])
 
     def encode(self, text: str) -> np.ndarray:
         m = self.model
@@ -218,6 +232,18 @@ class Codec:
         return text[1:] if self.model.dummy_prefix and text[:1] == " " else text
 
 
+_CODECS: dict[bytes, Codec] = {}
+
+
+def codec_of(data: bytes) -> Codec:
+    """The process's codec of a model; the tasks of a worker share its memos. One model is held at a time."""
+    key = hashlib.sha256(data).digest()
+    if key not in _CODECS:
+        _CODECS.clear()
+        _CODECS[key] = Codec(data)
+    return _CODECS[key]
+
+
 def encode_documents(docs: DataFrame, model: bytes, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_ids, ids_crc32, ids, round_trip) of each row.
 
@@ -230,7 +256,7 @@ def encode_documents(docs: DataFrame, model: bytes, *, id_col: str = "doc_id", t
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def make():
-        codec = Codec(shared.value)
+        codec = codec_of(shared.value)
 
         def run(rows):
             ids = [codec.encode(t or "") for t in rows["text"]]
@@ -255,7 +281,7 @@ def decode_documents(encoded: DataFrame, model: bytes, *, id_col: str = "doc_id"
     shared = encoded.sparkSession.sparkContext.broadcast(model)
 
     def make():
-        codec = Codec(shared.value)
+        codec = codec_of(shared.value)
         return lambda rows: {"id": rows["id"], "text": [codec.decode(x or []) for x in rows["ids"].to_pylist()]}
 
     rows = encoded.select(F.col(id_col).cast("long").alias("id"), F.col(ids_col).cast("array<int>").alias("ids"))
