@@ -100,7 +100,8 @@ class Model:
         self.unk_score = min(self.scores, default=0.0) - 10.0
         self.rank = {p: self.scores[i] for p, i in self.vocab.items()}
         self.longest = max(map(len, self.vocab), default=1)
-        joined = {p[i : i + 2] for p in self.vocab for i in range(len(p) - 1)}
+        #: Pairs of characters that stand together in some piece.
+        self.joined = joined = {p[i : i + 2] for p in self.vocab for i in range(len(p) - 1)}
         #: No piece goes over the start of a run of spaces, or over a line end.
         self.words_apart = not any(x[1] == SPACE and x[0] != SPACE or "\n" in x for x in joined)
         tails: dict[str, set[int]] = {}
@@ -207,6 +208,9 @@ class Codec:
         return out
 
     def _word(self, s: str) -> bytes:
+        # No piece holds the last two characters, such as a letter and a comma: the last one stands alone.
+        if 1 < len(s) <= MEMO_CHARS and s[-2:] not in self.model.joined:
+            return self.memo[s[:-1]] + self.memo[s[-1]]
         return b"".join([array.array("i", run).tobytes() for run in self.stream(s)])
 
     def encode(self, text: str) -> np.ndarray:
