@@ -133,29 +133,29 @@ def connected_components(edges: DataFrame, store: Written, *, u: str = "u", v: s
     that adaptive execution splits where a hub is hot. Self loops and repeated
     edges are allowed, null ends are ignored. Each round is written out.
     """
-    e = edges.select(F.col(u).alias("u"), F.col(v).alias("v")).where("u is not null and v is not null")
-    e = store.write(e.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    state = _state(e)
+    # greatest() and least() pass over nulls, so these go first.
+    e = edges.where(F.col(u) != F.col(v)).select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v"))
+    e = store.write(e)
     for _ in range(limit):
-        if state[0] == 0:
+        if _settled(e):
             break
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         lows = large.groupBy("u").agg(F.min("v").alias("m"))
         pairs = large.join(lows, "u")
         small = pairs.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(lows.select("u", F.col("m").alias("v"))).distinct()
         new = store.write(small)
         store.drop(e)
-        e, before, state = new, state, _state(new)
-        if state == before:
-            break
+        e = new
     else:
         raise RuntimeError(f"components did not settle in {limit} rounds")
     roots = e.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)
 
 
-def _state(e: DataFrame) -> tuple:
-    row = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-    return row[0], row[1]
+def _settled(e: DataFrame) -> bool:
+    """Whether edges (u, v) are stars: no u has two rows or is a v. Repeated edges are not settled."""
+    ends = e.select(F.col("u").alias("node"), F.lit(1).alias("rows"), F.lit(0).alias("root")).union(e.select("v", F.lit(0), F.lit(1)))
+    nodes = ends.groupBy("node").agg(F.sum("rows").alias("rows"), F.max("root").alias("root"))
+    return nodes.where("rows > 1 or rows = 1 and root = 1").agg(F.count("*")).first()[0] == 0

@@ -174,7 +174,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     members = store.write(keyed.join(shared, ["band", "key"]))
     known = store.write(rows.withColumnRenamed("uid", "node").join(members.select("node").distinct(), "node").select("node", "text", "darts", "bands"))
     darts, texts, least = known.select("node", "darts"), known.select("node", "text"), threshold - SLACK
-    comps, links = None, None
+    comps = None
     for k in range(rounds + 1):
         labelled = store.write(_labelled(members, comps))
         buckets = store.write(_open(labelled))
@@ -187,7 +187,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
             found = store.write(_verified(_estimated(met, darts, least), texts, threshold, words, weights).where("ok").select("x", "y"))
         else:
             found = store.write(_blocks(labelled, buckets, known, threshold, words, weights, chunk))
-        links = found if links is None else links.union(found)
+        # What is connected already is passed on as stars, not link by link.
+        links = found if comps is None else found.union(comps.select("node", "component"))
         comps = store.write(connected_components(links, store, u="x", v="y"))
         members = labelled.join(buckets.select("band", "key"), ["band", "key"], "left_semi").drop("comp")
     whole = nodes if comps is None else nodes.join(comps, "node", "left")
