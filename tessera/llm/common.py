@@ -129,8 +129,9 @@ def connected_components(edges: DataFrame, store: Written, *, u: str = "u", v: s
 
     Alternates large-star and small-star steps: each joins a node's neighbours
     to their minimum, so that no task ever holds a node's neighbours together;
-    minima are combined before the shuffle, and the joins are plain equi-joins
-    that adaptive execution splits where a hub is hot. Self loops and repeated
+    minima are combined before the shuffle. A hub's links stream through one task
+    of the joins with these minima, which adaptive execution does not split, as
+    one side is an aggregate. Self loops and repeated
     edges are allowed, null ends are ignored. Each round is written out.
     """
     # greatest() and least() pass over nulls, so these go first.
