@@ -180,6 +180,15 @@ def test_near_duplicates_equal_brute_force(spark):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(root)) and kept.columns == ["doc_id", "text", "source", "label", "node"]
 
 
+@pytest.mark.parametrize("rounds", [0, 2])
+def test_near_duplicates_are_not_lost_to_the_estimate(spark, rounds):
+    """Pairs of similarity 0.8 of whose 128 darts only 82 or 83 agree, by pivots and by blocks."""
+    words = [[f"w{seed}x{i}" for i in range(14)] for seed in (7437, 22628, 25758, 29277)]
+    texts = [" ".join(w[:n]) for w in words for n in (14, 12)]
+    got = {r.id: r.class_id for r in near.near_duplicates(frame(spark, texts), rounds=rounds)[0].collect()}
+    assert [got[i] for i in range(8)] == [0, 0, 2, 2, 4, 4, 6, 6]
+
+
 def test_repeated_passages_go_and_the_rest_stays(spark):
     rng = random.Random(8)
     line = lambda: ". ".join(prose(rng, 12).capitalize() for _ in range(6)) + "."
