@@ -5,9 +5,14 @@ and before capitalised words, so that a passage pasted into the middle of a
 line is cut as it is elsewhere). Units are normalised (case, white space, marks
 at their ends) and hashed; digests are grouped over all texts, and the earliest
 occurrence, by id and then place, is the one to keep. A later occurrence is
-repeated. Units that chance repeats, such as a one-word sentence, are no
-passages: a run of repeated units is removed if it has at least ``min_words``
-words. Offsets of what is removed refer to the original text.
+repeated. Lines and paragraphs of several units are hashed as a whole too: a
+repeated one is removed if it has at least ``line_words`` words, or ``min_words``
+where a line is the whole text. Inside lines, units that chance repeats, such as a
+one-word sentence, are no passages: a run of repeated units is removed if it has
+at least ``min_words`` words. In scripts without spaces between words two
+characters (four in Thai, Lao, Burmese and Khmer) count as a word, and units end
+at full-width marks, or at spaces. Offsets of what is removed refer to the
+original text.
 """
 
 from __future__ import annotations
@@ -21,16 +26,20 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import Written, map_rows, read
 
-#: Words that a run of repeated units must have, and a unit at its ends.
-MIN_WORDS, END_WORDS = 25, 3
+#: Words that a run of repeated units must have, a unit at its ends, and a repeated line or paragraph.
+MIN_WORDS, END_WORDS, LINE_WORDS = 25, 3, 4
 _CUT = re.compile(r"\s*\n\s*|(?<=[.!?…])\s+|\s+(?=[A-ZÀ-ÖØ-ÞΑ-ΩА-Я])")
-_ENDS = " \t.,;:!?…\"'()[]"
+_ENDS = " \t.,;:!?…\"'()[]。｡，、；：！？「」『』（）"
+#: Characters of scripts without spaces: those that stand for half a word, and for a quarter.
+_HALF, _QUARTER = r"\u3005-\u3007\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff", r"\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff"
+_HALVES, _QUARTERS, _UNSPACED = re.compile(f"[{_HALF}]"), re.compile(f"[{_QUARTER}]"), re.compile(f"[{_HALF}{_QUARTER}]")
+_CUT_UNSPACED = re.compile(_CUT.pattern + rf"|(?<=[。｡！？])(?![。｡！？」』”’）])\s*|(?<=[。｡！？][」』”’）])\s*|(?<=[{_QUARTER}])\s+(?=[{_QUARTER}])")
 
 
 def units(text: str) -> list[tuple[int, int]]:
     """Spans of the units of a text, in order; what lies between is white space."""
     out, at = [], 0
-    for m in _CUT.finditer(text):
+    for m in (_CUT_UNSPACED if _UNSPACED.search(text) else _CUT).finditer(text):
         if m.start() > at:
             out.append((at, m.start()))
         at = m.end()
@@ -49,9 +58,50 @@ def digest(unit: str) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def repeated_runs(text: str, spans: list[tuple[int, int]], repeated: list[int], min_words: int = MIN_WORDS) -> list[tuple[int, int]]:
-    """Spans to remove, given the indexes of the repeated units."""
-    out, flags = [], set(repeated)
+def size(text: str) -> int:
+    """Words of a text; characters count where words have no spaces between them."""
+    if text.isascii() or not _UNSPACED.search(text):
+        return len(text.split())
+    spaced = sum(any(c.isalnum() for c in w) for w in _UNSPACED.sub(" ", text).split())
+    return spaced + -(-(2 * len(_HALVES.findall(text)) + len(_QUARTERS.findall(text))) // 4)
+
+
+def blocks(text: str, spans: list[tuple[int, int]]) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+    """Lines, and paragraphs of several lines, as ranges of units."""
+    gaps = [text.count("\n", spans[k - 1][1], spans[k][0]) for k in range(1, len(spans))]
+    lines, paragraphs = ([0, *(k for k, n in enumerate(gaps, 1) if n >= least), len(spans)] for least in (1, 2))
+    lines, paragraphs = (list(zip(at, at[1:])) if spans else [] for at in (lines, paragraphs))
+    known = set(lines)
+    return lines, [x for x in paragraphs if x not in known]
+
+
+def passages(text: str) -> list[tuple[int, int]]:
+    """(mark, digest) of units k (mark 3 k), and of lines (1 more) and paragraphs (2 more) of several units from k on."""
+    spans = units(text)
+    out = [(3 * k, digest(text[s:e])) for k, (s, e) in enumerate(spans)]
+    for kind, ranges in enumerate(blocks(text, spans), 1):
+        out += [(3 * a + kind, digest(text[spans[a][0] : spans[b - 1][1]])) for a, b in ranges if len(_core(text, spans, a, b)) > 1]
+    return out
+
+
+def _core(text: str, spans: list[tuple[int, int]], a: int, b: int) -> list[int]:
+    """Of the units a to b, those with more than marks."""
+    return [a] if b - a == 1 else [k for k in range(a, b) if normal(text[slice(*spans[k])])]
+
+
+def repeated_runs(text: str, spans: list[tuple[int, int]], repeated: list[int], min_words: int = MIN_WORDS, line_words: int = LINE_WORDS) -> list[tuple[int, int]]:
+    """Spans to remove, given the marks of what is repeated."""
+    marks, gone = set(repeated), set()
+    flags = {x // 3 for x in marks if x % 3 == 0}
+    lines, paragraphs = blocks(text, spans)
+    least = line_words if len(lines) > 1 else min_words
+    for kind, ranges in enumerate((lines, paragraphs), 1):
+        for a, b in ranges:
+            core = _core(text, spans, a, b)
+            if 3 * a + kind in marks or (len(core) == 1 and core[0] in flags):
+                flags.update(range(a, b))
+                if size(text[spans[a][0] : spans[b - 1][1]]) >= least:
+                    gone.update(range(a, b))
     k, n = 0, len(spans)
     while k < n:
         if k not in flags:
@@ -60,7 +110,7 @@ def repeated_runs(text: str, spans: list[tuple[int, int]], repeated: list[int],
         first = k
         while k < n and k in flags:
             k += 1
-        sizes = [len(text[s:e].split()) for s, e in spans[first:k]]
+        sizes = [size(text[s:e]) for s, e in spans[first:k]]
         if sum(sizes) < min_words:
             continue
         a, b = 0, len(sizes)
@@ -69,7 +119,13 @@ def repeated_runs(text: str, spans: list[tuple[int, int]], repeated: list[int],
         while b > a and sizes[b - 1] < END_WORDS:
             b -= 1
         a, b = (0, len(sizes)) if a == b else (a, b)
-        out.append((spans[first + a][0], spans[first + b - 1][1]))
+        gone.update(range(first + a, first + b))
+    out = []
+    for k in sorted(gone):
+        if k - 1 in gone:
+            out[-1] = (out[-1][0], spans[k][1])
+        else:
+            out.append(spans[k])
     return out
 
 
@@ -90,17 +146,17 @@ def _key(text: Column) -> Column:
 
 
 def repeated_units(docs: DataFrame, store: Written, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, key, repeated array<int>) of texts with units that occur earlier; key: hash of the text."""
+    """(id, key, repeated array<int>) of texts with passages that occur earlier, by mark; key: hash of the text."""
 
     def make():
         def run(rows):
             out = {"id": [], "key": [], "at": [], "digest": []}
             for i, key, t in zip(rows["id"], rows["key"], rows["text"]):
-                found = [digest(t[s:e]) for s, e in units(t or "")]
+                found = passages(t or "")
                 out["id"] += [i] * len(found)
                 out["key"] += [key] * len(found)
-                out["at"] += range(len(found))
-                out["digest"] += found
+                out["at"] += [at for at, _ in found]
+                out["digest"] += [x for _, x in found]
             return out
 
         return run

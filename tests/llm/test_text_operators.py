@@ -204,6 +204,21 @@ def test_repeated_passages_go_and_the_rest_stays(spark):
     assert sub.dedup(frame(spark, [], [])).count() == 0
 
 
+def test_short_repeated_lines_and_unspaced_text_go(spark):
+    hot, title, para = "Licensed under the Mit License", "The Great Wall Of China", "one two\nthree four\nfive"
+    han = "我们在这里写一句相当长的话。" * 2 + "".join(chr(0x4E00 + 37 * k) for k in range(40)) + "！"
+    thai = " ".join("".join(chr(0x0E01 + (7 * k + 3 * j) % 46) for k in range(20)) for j in range(6))
+    texts = [
+        f"first text alone\n{hot}\nmore of it", f"second\n{hot}\nmore of that", f"third\n( {hot.upper()}.\nend", "great\nwall\nof\nchina\nthe", f"fifth\n{title}\nstays", f"sixth\n{title}\ngoes",
+        f"a\n\n{para}\n\nb", f"c\n\n{para}\n\nd", f"甲{chr(10)}{han}", f"乙在前。{han}丙在後。", f"{thai}", f"ก {thai} ข", "短い行です、繰り返し\n x", "y\n短い行です、繰り返し",
+    ]
+    got = {r.doc_id: r.text for r in sub.dedup(frame(spark, texts)).collect()}
+    assert got[0] == texts[0] and got[1] == "second\nmore of that" and got[2] == "third\nend", "a short line goes in later texts"
+    assert got[4] == texts[4] and got[5] == "sixth\ngoes", "words that each stand elsewhere do not make a line repeated"
+    assert got[6] == texts[6] and got[7] == "c\n\nd" and got[8] == texts[8] and got[9] == "乙在前。丙在後。"
+    assert got[10] == thai and got[11] == "ก ข" and got[12] == texts[12] and got[13] == "y"
+
+
 @pytest.mark.parametrize("text", ["A b. C d!\nE f", "", "  \n x", "ab\n\n\nCd. e"])
 def test_units_cover_all_words(text):
     assert " ".join(text[s:e] for s, e in sub.units(text)).split() == text.split()
