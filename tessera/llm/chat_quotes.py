@@ -1,10 +1,13 @@
 """Chat formatting by quotation linking, in DataFrame functions.
 
 Lines of a message that start with ``>`` are quotes, nested as deep as marks
-stand there. Runs of lines of one level are passages. Passages, the unquoted
-text of messages and its lines are normalised and hashed; a quoted passage is
+stand there. Runs of lines of one level are passages. Passages and the unquoted
+text of messages are normalised and hashed, whole and by their lines, pairs of
+lines that follow one another, and sentences, so that excerpts and re-wrapped or
+edited passages are found by what is left of them. Each hash of a passage is
 joined to the earliest message that holds it, in its own conversation or else
-in any. A message replies to the message that its shallowest quote comes from;
+in any other; the passage comes from the message with the longest match, then
+the most. A message replies to the message that its shallowest quote comes from;
 without a known quote it keeps its place. The quotes are taken out.
 
 Nothing is gathered by conversation: earliest messages are minima by hash, and
@@ -42,10 +45,18 @@ def _passages(lines: Column) -> Column:
     return F.aggregate(lines, start, add)
 
 
-def normal_hash(text: Column) -> Column:
-    """Hash of a passage without case, marks and differences of white space; null without words."""
-    plain = F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "))
-    return F.when(plain != "", F.xxhash64(plain))
+def normal(text: Column) -> Column:
+    """A passage without case, marks and differences of white space."""
+    return F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "))
+
+
+def _parts(text: Column) -> Column:
+    """Distinct (h, n), hash and length, of a text, its lines, pairs of lines and sentences; of what has words."""
+    full = lambda parts: F.filter(F.transform(parts, normal), lambda x: x != "")
+    lines = full(F.split(text, "\n"))
+    pairs = F.filter(F.zip_with(lines, F.slice(lines, 2, F.greatest(F.size(lines), F.lit(1))), lambda x, y: F.concat(x, F.lit(" "), y)), lambda x: x.isNotNull())
+    sentences = F.split(text, r"(?<=[.!?…])\s+|(?<=[。！？｡])\s*|\n\s*\n")
+    return F.array_distinct(F.transform(F.concat(full(F.array(text)), lines, pairs, full(sentences)), lambda x: F.struct(F.xxhash64(x).alias("h"), F.length(x).alias("n"))))
 
 
 def link_quotes(messages: DataFrame, *, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> tuple[DataFrame, Written]:
@@ -63,23 +74,27 @@ def link_quotes(messages: DataFrame, *, conv_col: str = "conv_id", turn_col: str
     own = F.when(F.col("lines").isNull(), F.coalesce("whole", F.lit(""))).otherwise(F.regexp_replace(F.array_join(F.transform(F.filter("lines", lambda x: x["level"] == 0), lambda x: x["line"]), "\n"), r"^\s+|\s+$", ""))
     passages = F.when(F.col("lines").isNotNull(), F.filter(_passages(F.col("lines")), lambda p: (p["level"] > 0) & (F.trim(p["line"]) != "")))
     split = store.write(split.select("uid", "conv", "turn", "role", own.alias("text"), passages.alias("quotes")))
-    # What quotes ask for: a passage's hash, or that of its first line.
-    asked = split.where(F.size("quotes") > 0).select("uid", "conv", "turn", F.posexplode("quotes").alias("at", "q")).select("uid", "conv", "turn", "at", "q.level", F.explode(F.array(F.struct(F.lit(0).alias("part"), normal_hash(F.col("q.line")).alias("h")), F.struct(F.lit(1).alias("part"), normal_hash(F.substring_index("q.line", "\n", 1)).alias("h")))).alias("x"))
-    asked = store.write(asked.select("uid", "conv", "turn", "at", "level", "x.part", "x.h").where("h is not null and conv is not null and turn is not null"))
+    # What quotes ask for: the hashes of passages and their parts.
+    asked = split.where(F.size("quotes") > 0).where("conv is not null and turn is not null").select("uid", "conv", "turn", F.posexplode("quotes").alias("at", "q"))
+    asked = store.write(asked.select("uid", "conv", "turn", "at", "q.level", F.explode(_parts(F.col("q.line"))).alias("x")).select("uid", "conv", "turn", "at", "level", "x.h", "x.n"))
     out = split.select("uid", "conv", "turn", "role", "text", F.coalesce(F.size("quotes"), F.lit(0)).alias("n_quotes"), F.coalesce(F.array_max(F.transform("quotes", lambda q: q["level"])), F.lit(0)).alias("max_level"))
     if asked.isEmpty():
         found = None
     else:
         wanted = asked.select("h").distinct()
-        held = split.where("conv is not null and turn is not null").select("conv", "turn", F.explode(F.array_union(F.array(normal_hash(F.col("text"))), F.transform(F.split("text", "\n"), normal_hash))).alias("h")).where("h is not null").join(wanted, "h", "left_semi")
-        here = held.groupBy("conv", "h").agg(F.min("turn").alias("t"))
-        anywhere = held.groupBy("h").agg(F.min(F.struct("conv", "turn")).alias("a"))
-        hits = asked.join(here, ["conv", "h"], "left").join(anywhere, "h", "left")
+        held = split.where("conv is not null and turn is not null").select("conv", "turn", F.explode(_parts(F.col("text"))).alias("x")).select("conv", "turn", "x.h").join(wanted, "h", "left_semi")
+        here = store.write(held.groupBy("conv", "h").agg(F.min("turn").alias("t")))
+        first = store.write(here.groupBy("h").agg(F.min(F.struct(F.col("conv").alias("c"), "t")).alias("a")))
+        # The next conversation, for what is asked from the first one.
+        again = asked.join(first, "h").where("conv = a.c").select("h").distinct()
+        second = here.join(again, "h", "left_semi").join(first, "h").where("conv <> a.c").groupBy("h").agg(F.min(F.struct(F.col("conv").alias("c"), "t")).alias("b"))
+        hits = asked.join(here, ["conv", "h"], "left").join(first, "h", "left").join(second, "h", "left")
         near = F.when(F.col("t") < F.col("turn"), F.struct(F.col("conv").alias("c"), F.col("t").alias("t")))
-        far = F.when(F.col("a.conv") != F.col("conv"), F.struct(F.col("a.conv").alias("c"), F.col("a.turn").alias("t")))
-        hits = hits.withColumn("to", F.coalesce(near, far)).where("to is not null")
-        order = F.struct((F.col("to.c") != F.col("conv")).alias("away"), "level", "at", "part", F.col("to.c").alias("c"), F.col("to.t").alias("t"))
-        found = hits.groupBy("uid").agg(F.min(order).alias("best")).select("uid", F.col("best.c").alias("reply_to_conv"), F.col("best.t").alias("reply_to_turn"))
+        far = F.when(F.col("a.c") != F.col("conv"), F.col("a")).otherwise(F.col("b"))
+        hits = hits.withColumn("to", F.coalesce(near, far)).where("to is not null").withColumn("away", F.col("to.c") != F.col("conv"))
+        votes = hits.groupBy("uid", "level", "at", "away", "to").agg(F.max("n").alias("longest"), F.sum("n").alias("most"))
+        sources = votes.groupBy("uid", "level", "at").agg(F.min(F.struct((-F.col("longest")).alias("l"), (-F.col("most")).alias("m"), "away", "to.c", "to.t")).alias("x"))
+        found = sources.groupBy("uid").agg(F.min(F.struct("x.away", "level", "at", "x.c", "x.t")).alias("best")).select("uid", F.col("best.c").alias("reply_to_conv"), F.col("best.t").alias("reply_to_turn"))
     if found is None:
         return out.withColumn("reply_to_conv", F.lit(None).cast("long")).withColumn("reply_to_turn", F.lit(None).cast("long")), store
     return out.join(found, "uid", "left"), store

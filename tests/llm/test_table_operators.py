@@ -57,6 +57,20 @@ def test_quotes_link_and_go(spark):
     assert len(got) == len(rows) and got[0].formatted == "<|user|>\n\n<|end|>\n" and chat.format_chats(df.limit(0)).count() == 0
 
 
+def test_excerpts_link_by_their_parts(spark):
+    long = "The first sentence is of some length. The second one goes on for a while!"
+    rows = [
+        (1, 0, "Hi,\nalpha beta gamma\ndelta epsilon\nzeta eta"), (1, 1, "Alpha beta gamma"), (1, 2, long), (1, 3, ">\n> delta epsilon"), (1, 4, "> Bob wrote:\n> ...\n> zeta eta\n> changed"),
+        (1, 5, "> The first sentence is of\n> some length. The second one\n> goes on"), (1, 6, "> Hi,\n> only elsewhere, a line of words\n> and another"), (2, 0, "Top\nonly elsewhere, a line of words\nand another\nend"),
+        (3, 0, "> kept twice in here"), (3, 1, "kept twice in here"), (4, 2, "kept twice in here"), (5, 0, "kept twice in here"), (6, 1, "one two\nthree four\nfive six"), (5, 1, "one two"), (5, 2, "three four"), (7, 0, "> one two\n> three four\n> lost"),
+    ]
+    df = spark.createDataFrame([(c, t, "user", x) for c, t, x in rows], "conv_id long, turn long, role string, text string")
+    got = {(r.conv, r.turn): (r.reply_to_conv, r.reply_to_turn) for r in chat.link_quotes(df)[0].collect()}
+    assert got[1, 3] == (1, 0) and got[1, 4] == (1, 0), "an empty first line, an attribution, an ellipsis and an edit"
+    assert got[1, 5] == (1, 2) and got[1, 6] == (2, 0) and got[7, 0] == (6, 1), "a passage wrapped anew; the longest match, not the first"
+    assert got[3, 0] == (4, 2), "the earliest other conversation, though its own is the earliest of all"
+
+
 def vectors(spark, rows):
     return spark.createDataFrame([(i, v, 0, 1) for i, v in rows], "vec_id long, embedding array<float>, node int, k1 int")
 
