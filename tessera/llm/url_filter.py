@@ -10,6 +10,8 @@ else if any is blocked, they are blocked. Without either they are allowed.
 
 from __future__ import annotations
 
+from html.entities import name2codepoint
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,19 +70,49 @@ def judged(urls: DataFrame, rules: DataFrame, *, rule_count: int | None = None)
 def link_edges(pages: DataFrame, *, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(u, v): a page's URL and the target of each canonical link or meta refresh in its HTML.
 
-    Relative targets are resolved against the page's host; addresses are compared
-    without fragments.
+    HTML entities in targets are decoded. Relative targets are resolved against
+    the page's URL, which needs a scheme and host for that; addresses are
+    compared without fragments.
     """
     html = F.col(html_col)
-    links = F.filter(F.regexp_extract_all(html, F.lit(r"(?i)(<link\b[^>]{0,2000}>)"), 1), lambda t: F.lower(t).rlike(r"\brel\s*=\s*[\"']?canonical\b"))
+    links = F.filter(F.regexp_extract_all(html, F.lit(r"(?i)(<link\b[^>]*+>)"), 1), lambda t: F.lower(t).rlike(r"\brel\s*=\s*[\"']?canonical\b"))
     canonical = F.transform(links, lambda t: F.regexp_extract(t, r"(?i)\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1))
-    metas = F.filter(F.regexp_extract_all(html, F.lit(r"(?i)(<meta\b[^>]{0,2000}>)"), 1), lambda t: F.lower(t).rlike(r"http-equiv\s*=\s*[\"']?refresh"))
+    metas = F.filter(F.regexp_extract_all(html, F.lit(r"(?i)(<meta\b[^>]*+>)"), 1), lambda t: F.lower(t).rlike(r"http-equiv\s*=\s*[\"']?refresh"))
     refresh = F.transform(metas, lambda t: F.regexp_extract(t, r"(?i)\burl\s*=\s*[\"']?([^\"'\s>]+)", 1))
     likely = F.lower(html).rlike(r"canonical|http-equiv")
     found = pages.where(likely).select(F.col(url_col).alias("url"), F.explode(F.array_distinct(F.concat(canonical, refresh))).alias("to")).where("to <> '' and url is not null")
-    base = F.regexp_extract("url", r"^([^:/?#]+://[^/?#]*)", 1)
-    to = F.when(F.instr("to", "://") > 0, F.col("to")).when(F.col("to").startswith("//"), F.concat(F.substring_index("url", ":", 1), F.lit(":"), F.col("to"))).when(F.col("to").startswith("/"), F.concat(base, F.col("to")))
-    return found.select(address(F.col("url")).alias("u"), address(to).alias("v")).where("v is not null and u <> v")
+    found = found.withColumn("to", _decoded(F.col("to")))
+    return found.select(address(F.col("url")).alias("u"), address(_resolved(F.col("to"), F.col("url"))).alias("v")).where("v is not null and u <> v")
+
+
+def _decoded(text: Column) -> Column:
+    """Text with its HTML entities (those of HTML 4 by name, any by number) replaced, once."""
+    entity = r"&(?:[A-Za-z][A-Za-z0-9]*|#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6});"
+    names = F.create_map(*(F.lit(x) for name, code in {**name2codepoint, "apos": 39}.items() for x in (f"&{name};", chr(code))))
+
+    def plain(e):
+        number = F.when(F.lower(e).startswith("&#x"), F.conv(F.regexp_extract(e, "([0-9A-Fa-f]+);", 1), 16, 10)).otherwise(F.regexp_extract(e, "([0-9]+);", 1)).try_cast("int")
+        valid = number.between(1, 0xD7FF) | number.between(0xE000, 0x10FFFF)
+        known = F.when(e.startswith("&#"), F.when(valid, F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32"))).otherwise(F.try_element_at(names, e))
+        return F.coalesce(known, e)
+
+    pieces = F.zip_with(F.split(text, entity, -1), F.regexp_extract_all(text, F.lit(f"({entity})"), 1), lambda a, e: F.concat(a, F.coalesce(plain(e), F.lit(""))))
+    return F.when(F.instr(text, "&") > 0, F.array_join(pieces, "")).otherwise(text)
+
+
+def _resolved(to: Column, url: Column) -> Column:
+    """A link's target as a URL; null for other schemes, and where url cannot be a base."""
+    base = F.regexp_extract(url, r"^([^:/?#]+://[^/?#]*)", 1)
+    path = F.regexp_extract(F.substring(url, F.length(base) + F.lit(1), F.length(url)), r"^([^?#]*)", 1)
+    front = F.regexp_extract(to, r"^([^?#]*)", 1)
+    rest = F.substring(to, F.length(front) + F.lit(1), F.length(to))
+    whole = F.when(front == "", path).when(front.startswith("/"), front).otherwise(F.concat(F.when(path == "", F.lit("/")).otherwise(F.regexp_extract(path, r"^(.*/)", 1)), front))
+    # Segments . and .. go.
+    steps = F.slice(F.split(F.regexp_replace(whole, r"(^|/)(\.\.?)$", "$1$2/"), "/", -1), 2, F.length(whole) + F.lit(2))
+    kept = F.aggregate(steps, F.array().cast("array<string>"), lambda done, x: F.when(x == ".", done).when(x == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))).otherwise(F.concat(done, F.array(x))))
+    whole = F.when((front != "") & whole.rlike(r"(^|/)\.\.?(/|$)"), F.concat(F.lit("/"), F.array_join(kept, "/"))).otherwise(whole)
+    absolute = to.rlike(r"^([A-Za-z][A-Za-z0-9+.-]*)?://")
+    return F.when(absolute, to).when(to.startswith("#"), url).when(to.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:") | (base == ""), F.lit(None)).when(to.startswith("//"), F.concat(F.substring_index(url, ":", 1), F.lit(":"), to)).otherwise(F.concat(base, whole, rest))
 
 
 def address(url: Column) -> Column:

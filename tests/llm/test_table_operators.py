@@ -43,6 +43,19 @@ def test_url_rules_and_aliases(spark):
     assert url.filter_urls(df).count() == len(pages) and url.filter_urls(df.limit(0)).count() == 0
 
 
+def test_links_of_any_length_relative_or_with_entities(spark):
+    page, long = "http://a.net/d/e/p.html?q=1#f", "http://b.net/" + "x" * 3000
+    cases = {
+        long: long, "page.html": "http://a.net/d/e/page.html", "?x=1": "http://a.net/d/e/p.html?x=1", "../up": "http://a.net/d/up", "./": "http://a.net/d/e/", "../../../..": "http://a.net/", "/r/../s?u=http://t/../z": "http://a.net/s?u=http://t/../z",
+        "http://b.net/?a=1&amp;b=2": "http://b.net/?a=1&b=2", "?a&#38;b&#x26;c&amp;amp;d&eacute;&nix;": "http://a.net/d/e/p.html?a&b&c&amp;d\u00e9&nix;", "&#x1F600;": "http://a.net/d/e/\U0001f600", "//c.net/z": "http://c.net/z", "mailto:x@y": None, "#top": None,
+    }
+    for kind in ('<link rel="canonical" href="{}">', '<meta http-equiv="refresh" content="0; url={}">'):
+        df = spark.createDataFrame([(page, kind.format(t)) for t in cases], "url string, html string")
+        assert sorted(r.v for r in url.link_edges(df).collect()) == sorted(v for v in cases.values() if v)
+    df = spark.createDataFrame([("http://a.net", kind.format("p")), ("no scheme", kind.format("p"))], "url string, html string")
+    assert [tuple(r) for r in url.link_edges(df).collect()] == [("http://a.net", "http://a.net/p")]
+
+
 def test_quotes_link_and_go(spark):
     rows = [
         (1, 0, "user", "How do I sort?\nIn Python."), (1, 1, "assistant", "Use sorted()."), (1, 2, "user", "> use  SORTED()\n\nAnd back?"), (1, 3, "assistant", ">> How do I sort?\n>> In Python.\n> Use sorted().\nThat first."),
