@@ -2,11 +2,14 @@
 
 Intermediates that are read twice, and the state of iterative operators, are
 written to the folder in ``spark.checkpoint.dir``, so that a lost executor
-costs a task and never a result.
+costs a task and never a result. What a result still reads is removed when its
+scope ends (see scope()), else when the interpreter does.
 """
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -26,14 +29,13 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only if none is set."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share. Only in local mode a temporary one stands in where none is set."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
-        known = spark.sparkContext.getCheckpointDir()
-        if not known:
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tessera-"))
-            known = spark.sparkContext.getCheckpointDir()
-        found = known
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir is not set: it must name a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tessera-"))
+        found = spark.sparkContext.getCheckpointDir()
     return found.rstrip("/")
 
 
@@ -55,6 +57,11 @@ class Memo(dict):
         return found
 
 
+#: Stores whose tables are still there, and those made in each open scope.
+_STORES: dict[str, "Written"] = {}
+_SCOPES: list[list["Written"]] = []
+
+
 class Written:
     """Tables written to the shared folder, dropped when no longer needed."""
 
@@ -62,7 +69,14 @@ class Written:
         self.spark = spark
         self.base = f"{shared_dir(spark)}/tessera-{uuid.uuid4().hex}"
         self.n = 0
-        self.paths: dict[int, str] = {}
+        self.frames: dict[int, tuple[DataFrame, str]] = {}
+        self.fs = self._path(self.base).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        _STORES[self.base] = self
+        for made in _SCOPES[-1:]:
+            made.append(self)
+
+    def _path(self, path: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(path)
 
     def write(self, df: DataFrame) -> DataFrame:
         """Write df and read it back: what follows does not recompute df."""
@@ -70,15 +84,36 @@ class Written:
         self.n += 1
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
-        self.paths[id(out)] = path
+        self.frames[id(out)] = out, path
         return out
 
     def drop(self, *frames: DataFrame) -> None:
-        jvm = self.spark._jvm
         for df in frames:
-            path = jvm.org.apache.hadoop.fs.Path(self.paths.pop(id(df)))
-            fs = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-            fs.delete(path, True)
+            self.fs.delete(self._path(self.frames.pop(id(df))[1]), True)
+
+    def close(self) -> None:
+        """Drop all tables; nothing that reads them may run afterwards."""
+        self.frames.clear()
+        _STORES.pop(self.base, None)
+        self.fs.delete(self._path(self.base), True)
+
+
+@contextlib.contextmanager
+def scope() -> Iterator[None]:
+    """Tables of the stores that operators make inside are dropped at the end: write results inside."""
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        for store in _SCOPES.pop():
+            store.close()
+
+
+@atexit.register
+def _close_all() -> None:
+    for store in list(_STORES.values()):
+        with contextlib.suppress(Exception):  # the JVM may be gone
+            store.close()
 
 
 def slices(batches: Iterator[pa.RecordBatch], text: str | None = None) -> Iterator[pa.RecordBatch]:
@@ -114,14 +149,9 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[[dict[str, list]], dict[
     return df.mapInArrow(run, schema)
 
 
-def spread(df: DataFrame, spark: SparkSession, *, factor: int = 1) -> DataFrame:
-    """Deal rows out evenly, for Python work on inputs of few partitions."""
-    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism) * factor)
-
-
-def text_key(text: Column) -> Column:
-    """128 bits of a text as two longs in a struct."""
-    return F.struct(F.xxhash64(text).alias("a"), F.xxhash64(F.lit("\x01"), text).alias("b"))
+def map_texts(df: DataFrame, run: Callable[[pa.RecordBatch], pa.RecordBatch], schema, text: str) -> DataFrame:
+    """Map bounded slices of df's Arrow batches, by the size of column text, to batches of schema."""
+    return df.mapInArrow(lambda batches: map(run, slices(batches, text)), schema)
 
 
 def connected_components(edges: DataFrame, store: Written, *, u: str = "u", v: str = "v", limit: int = 64) -> DataFrame:
@@ -129,10 +159,10 @@ def connected_components(edges: DataFrame, store: Written, *, u: str = "u", v: s
 
     Alternates large-star and small-star steps: each joins a node's neighbours
     to their minimum, so that no task ever holds a node's neighbours together;
-    minima are combined before the shuffle. A hub's links stream through one task
-    of the joins with these minima, which adaptive execution does not split, as
-    one side is an aggregate. Self loops and repeated
-    edges are allowed, null ends are ignored. Each round is written out.
+    minima are combined before the shuffle, and written, as are the links: the
+    joins then have plain exchanges on both sides, and adaptive execution can
+    split a hub's links over tasks. Self loops and repeated edges are allowed,
+    null ends are ignored. Each step is written out.
     """
     # greatest() and least() pass over nulls, so these go first.
     e = edges.where(F.col(u) != F.col(v)).select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v"))
@@ -141,13 +171,12 @@ def connected_components(edges: DataFrame, store: Written, *, u: str = "u", v: s
         if _settled(e):
             break
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        lows = large.groupBy("u").agg(F.min("v").alias("m"))
-        pairs = large.join(lows, "u")
-        small = pairs.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(lows.select("u", F.col("m").alias("v"))).distinct()
+        least = store.write(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")))
+        large = store.write(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v"))
+        lows = store.write(large.groupBy("u").agg(F.min("v").alias("m")))
+        small = large.join(lows, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(lows.select("u", F.col("m").alias("v"))).distinct()
         new = store.write(small)
-        store.drop(e)
+        store.drop(e, least, large, lows)
         e = new
     else:
         raise RuntimeError(f"components did not settle in {limit} rounds")

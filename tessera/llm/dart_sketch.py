@@ -92,7 +92,7 @@ def _throw(x: np.ndarray, w: np.ndarray, at: np.ndarray, limit: np.ndarray):
             r = r - np.log(_unit(e)) / width
             near = r <= most
             e, r, weight, of, most = e[near], r[near], weight[near], of[near], most[near]
-            # Counts are whole: an element of weight w > low = 0 owns all of [0, 1).
+            # An element of weight 1 or more owns all of [0, 1).
             hit = slice(None) if low == 0 and width == 1 and weight.min(initial=1) >= 1 else low + width * _unit(mix(e ^ _B)) < weight
             owner.append(of[hit])
             ranks.append(r[hit])
@@ -114,9 +114,20 @@ def band_keys(sig: np.ndarray, bands: int = BANDS) -> np.ndarray:
     return x.view(np.int64)
 
 
+def weighed(x: np.ndarray, counts: np.ndarray, weights: str = "counts") -> tuple[np.ndarray, np.ndarray]:
+    """Shingles with their weights: "distinct" (1), "counts" (how often), or "log" (1 + ln of that, a fraction)."""
+    if weights == "distinct":
+        return x, np.ones(len(x), np.int64)
+    if weights == "log":
+        return x, 1 + np.log(counts)
+    if weights != "counts":
+        raise ValueError(f"unknown weights: {weights}")
+    return x, counts
+
+
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
-    """Weighted Jaccard similarity of two (sorted shingles, counts)."""
+    """Weighted Jaccard similarity of two (sorted shingles, weights). Equal sets have 1 whatever the rounding."""
     _, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
-    low = int(np.minimum(a[1][i], b[1][j]).sum())
-    total = int(a[1].sum() + b[1].sum()) - low
-    return low / total if total else 0.0
+    low, high = np.minimum(a[1][i], b[1][j]).sum(), np.maximum(a[1][i], b[1][j]).sum()
+    total = high + (a[1].sum() - a[1][i].sum()) + (b[1].sum() - b[1][j].sum())
+    return float(low / total) if total else 0.0

@@ -1,23 +1,27 @@
 """Near duplicates by DartMinHash signatures, banded joining and exact checks.
 
-1. Each text is sketched once, whole: 128 darts in 32 bands of 4.
+1. Each text is sketched once, whole: 128 darts in 32 bands of 4, thrown into
+   regions as wide as a shingle's weight.
 2. Equal word sequences are one node from here on, however many rows they have.
 3. Nodes that share a band's key are candidates. In each bucket all nodes are
    compared with one pivot, the pivots change by round, and pairs that are
    already connected are left out: the cost is linear in the bucket.
 4. What then still holds unconnected nodes is compared in blocks: a bucket's
-   members are cut into chunks of bounded size, and each pair of chunks is a
-   group of its own, which checks each pair of different components in the first
-   band that the pair shares, and returns a forest of links. So no candidate
-   pair of different components is left out, no task holds a bucket, and pairs
-   are no rows.
-5. A pair is a link if its exact similarity over shingles of five words is at
-   least the threshold. Classes are the connected components of links.
+   members are cut into chunks of bounded size, those of its largest component
+   apart from the others, and each pair of chunks that can hold unconnected
+   nodes is a group of its own. Groups get sketches first; only the members left
+   with a likely partner meet again with their texts, where each pair of
+   different components is checked in the first band that the pair shares, and a
+   forest of links is returned. So no candidate pair of different components is
+   left out, no task holds a bucket, and pairs are no rows.
+5. A pair is a link if its exact weighted Jaccard similarity over shingles of five
+   words is at least the threshold. Classes are the connected components of links.
 
 A pair of the threshold's similarity 0.8 shares no band with probability 4.8e-8.
-Darts are cut to 8 bits for a first estimate; pairs estimated more than 0.25
-below the threshold (seven standard deviations) are not compared exactly, which
-loses such a pair with probability 1e-10 at most: below 5e-8 with the bands.
+Darts are cut to 8 bits for a first estimate; pairs estimated more than slack =
+0.25 below the threshold (seven standard deviations) are not compared exactly,
+which loses such a pair with probability 1e-10 at most: below 5e-8 with the bands.
+slack = 1 compares every pair that shares a band.
 """
 
 from __future__ import annotations
@@ -29,18 +33,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import Memo, Written, connected_components, map_rows, read
-from tessera.llm.dart_sketch import K, WORDS, band_keys, shingles, signatures, similarity, word_hash, words_of
+from tessera.llm.dart_sketch import K, WORDS, band_keys, shingles, signatures, similarity, weighed, word_hash, words_of
 
 THRESHOLD, SLACK = 0.8, 0.25
 #: Rounds of pivots, and members of a chunk of what these leave.
 ROUNDS, CHUNK = 2, 512
 
 
-def _weighed(x, counts, weights: str):
-    return x, counts if weights == "counts" else np.ones(len(x), np.int64)
-
-
-def sketch(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, weights: str = "distinct") -> DataFrame:
+def sketch(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, weights: str = "counts") -> DataFrame:
     """(uid, id, text, a, b, bands, darts) of each row; uid is unique once written.
 
     a, b: 128 bits of the text's words, or of the row where there are none. bands
@@ -57,7 +57,7 @@ def sketch(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", w
             for i in range(0, len(rows["id"]), 64):
                 texts = rows["text"][i : i + 64]
                 split = [words_of(t) for t in texts]
-                sigs = signatures([_weighed(*shingles(w, hashes.__getitem__, words), weights) for w in split])
+                sigs = signatures([weighed(*shingles(w, hashes.__getitem__, words), weights) for w in split])
                 for key, text, w, sig in zip(rows["id"][i : i + 64], texts, split, sigs):
                     digest = xxhash.xxh3_128_digest(" ".join(w)) if w else None
                     row = (at, key, text if w else None, *(np.frombuffer(digest, "<i8").tolist() if w else (at, -1)), band_keys(sig).tolist() if w else [], (sig & np.uint64(255)).astype(np.uint8).tobytes())
@@ -99,7 +99,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, threshold: float, words: int,
                 if text not in last:
                     if len(last) > 16:
                         last.clear()
-                    last[text] = _weighed(*shingles(words_of(text), hashes.__getitem__, words), weights)
+                    last[text] = weighed(*shingles(words_of(text), hashes.__getitem__, words), weights)
                 return last[text]
 
             return {"x": rows["x"], "y": rows["y"], "ok": [similarity(of(a), of(b)) >= threshold for a, b in zip(rows["tx"], rows["ty"])]}
@@ -121,30 +121,71 @@ def _open(members: DataFrame) -> DataFrame:
     return members.groupBy("band", "key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n"), *seeds).where("lo <> hi").drop("lo", "hi")
 
 
-def _blocks(members: DataFrame, buckets: DataFrame, known: DataFrame, threshold: float, words: int, weights: str, chunk: int) -> DataFrame:
-    """Links (x, y) that connect nodes of different components which share a bucket."""
-    rows = members.join(buckets.select("band", "key", F.ceil(F.col("n") / chunk).cast("int").alias("chunks")), ["band", "key"]).join(known, "node")
-    rows = rows.withColumn("c", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    rows = rows.select("band", "key", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"), "c", "node", "comp", "darts", "bands", "text")
+def _chunked(members: DataFrame, known: DataFrame, store: Written, chunk: int) -> DataFrame:
+    """Members of open buckets, once for each pair of chunks (i, j) of a bucket that they have a part in.
+
+    A bucket's largest component has chunks of its own, the first ones; pairs of
+    these have nothing to connect and are left out.
+    """
+    sizes = members.groupBy("band", "key", "comp").agg(F.count("*").alias("n"))
+    pieces = lambda n: F.ceil(n / chunk).cast("int")
+    large = sizes.groupBy("band", "key").agg(F.max(F.struct("n", (-F.col("comp")).alias("neg"))).alias("x"), F.sum("n").alias("n"))
+    large = large.select("band", "key", (-F.col("x.neg")).alias("large"), pieces(F.col("x.n")).alias("own"), pieces(F.col("n") - F.col("x.n")).alias("others"))
+    rows = members.join(store.write(large), ["band", "key"]).join(known, "node")
+    inside = F.col("comp") == F.col("large")
+    place = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
+    rows = rows.withColumn("c", F.when(inside, place(F.col("own"))).otherwise(F.col("own") + place(F.col("others"))))
+    start = F.when(inside, F.col("own")).otherwise(F.lit(0))
+    rows = rows.withColumn("o", F.explode(F.sequence(start, F.col("own") + F.col("others") - 1)))
+    return rows.select("band", "key", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"), "c", "node", "comp", "darts", "bands")
+
+
+class _Block:
+    """Members of a pair of chunks, and the pairs of them that may be links."""
+
+    def __init__(self, t: pa.Table, cut: float):
+        self.c, self.node, self.comp = (t.column(k).to_numpy() for k in ("c", "node", "comp"))
+        self.i, self.j, self.band = (t.column(k)[0].as_py() for k in ("i", "j", "band"))
+        self.darts = np.frombuffer(b"".join(t.column("darts").to_pylist()), np.uint8).reshape(-1, K)
+        self.bands = np.array(t.column("bands").to_pylist(), np.int64)
+        self.cut, self.root = cut, np.unique(self.comp, return_inverse=True)[1]
+
+    def partners(self):
+        """(a, rows b) of each row of chunk i: of another component, likely enough, and in no band before this one together."""
+        right = np.flatnonzero(self.c == self.j)
+        for a in np.flatnonzero(self.c == self.i):
+            r = right[(self.root[right] != self.root[a]) & ((self.node[right] > self.node[a]) if self.i == self.j else True)]
+            r = r[(self.darts[r] == self.darts[a]).mean(1) >= self.cut]
+            r = r[~(self.bands[r, : self.band] == self.bands[a, : self.band]).any(1)] if self.band else r
+            if len(r):
+                yield a, r
+
+
+def _likely(rows: DataFrame, cut: float) -> DataFrame:
+    """Of rows of _chunked, those with a partner in their pair of chunks."""
+
+    def run(t: pa.Table) -> pa.Table:
+        some = np.zeros(t.num_rows, bool)
+        for a, r in _Block(t, cut).partners():
+            some[a] = some[r] = True
+        return t.filter(pa.array(some))
+
+    return rows.groupBy("band", "key", "i", "j").applyInArrow(run, rows.schema)
+
+
+def _links(rows: DataFrame, cut: float, threshold: float, words: int, weights: str) -> DataFrame:
+    """Links (x, y) that connect nodes of different components; rows: those of _likely with their texts."""
 
     def run(t: pa.Table) -> pa.Table:
-        c, node, comp = (t.column(k).to_numpy() for k in ("c", "node", "comp"))
-        i, j, band = (t.column(k)[0].as_py() for k in ("i", "j", "band"))
-        darts = np.frombuffer(b"".join(t.column("darts").to_pylist()), np.uint8).reshape(-1, K)
-        bands = np.array(t.column("bands").to_pylist(), np.int64)
-        texts, hashes, sets = t.column("text"), Memo(word_hash), {}
+        block, texts, hashes, sets = _Block(t, cut), t.column("text"), Memo(word_hash), {}
 
         def of(a):
             if a not in sets:
-                sets[a] = _weighed(*shingles(words_of(texts[a].as_py()), hashes.__getitem__, words), weights)
+                sets[a] = weighed(*shingles(words_of(texts[a].as_py()), hashes.__getitem__, words), weights)
             return sets[a]
 
-        xs, ys, root = [], [], np.unique(comp, return_inverse=True)[1]
-        right = np.flatnonzero(c == j)
-        for a in np.flatnonzero(c == i):
-            r = right[(root[right] != root[a]) & ((node[right] > node[a]) if i == j else True)]
-            r = r[(darts[r] == darts[a]).mean(1) >= threshold - SLACK]
-            r = r[~(bands[r, :band] == bands[a, :band]).any(1)] if band else r
+        xs, ys, node, root = [], [], block.node, block.root
+        for a, r in block.partners():
             for b in r:
                 if root[b] != root[a] and similarity(of(a), of(b)) >= threshold:
                     xs.append(max(node[a], node[b]))
@@ -155,14 +196,15 @@ def _blocks(members: DataFrame, buckets: DataFrame, known: DataFrame, threshold:
     return rows.groupBy("band", "key", "i", "j").applyInArrow(run, "x long, y long")
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, words: int = WORDS, weights: str = "distinct", chunk: int = CHUNK, rounds: int = ROUNDS) -> tuple[DataFrame, Written]:
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, words: int = WORDS, weights: str = "counts", chunk: int = CHUNK, rounds: int = ROUNDS, slack: float = SLACK) -> tuple[DataFrame, Written]:
     """(uid, id, class_id, kept) of each row, and the store that holds the intermediates.
 
     class_id is the smallest id of the class, kept is true for one row of it,
     the one with the smallest id. Null, empty and blank texts are in no class
     but their own. Texts of fewer than five words equal only their copies. Null
-    ids come last. weights: "distinct" for sets of shingles, "counts" to weigh
-    a shingle by its number.
+    ids come last; rows that repeat an id are rows of their own. weights: see
+    weighed(). slack: how far below the threshold an estimate may lie before a
+    pair is left out; at 1 none is.
     """
     spark = docs.sparkSession
     store = Written(spark)
@@ -171,10 +213,12 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     nodes = store.write(rows.groupBy("a", "b").agg(F.min("uid").alias("node"), F.min(order).alias("first")))
     heads = rows.join(nodes.select(F.col("node").alias("uid")), "uid", "left_semi")
     keyed = heads.select(F.col("uid").alias("node"), F.posexplode("bands").alias("band", "key"))
-    shared = keyed.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    # Written, here and below, so that joins have plain exchanges on both sides and a hot key can be split.
+    shared = store.write(keyed.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1").drop("n"))
     members = store.write(keyed.join(shared, ["band", "key"]))
-    known = store.write(rows.withColumnRenamed("uid", "node").join(members.select("node").distinct(), "node").select("node", "text", "darts", "bands"))
-    darts, texts, least = known.select("node", "darts"), known.select("node", "text"), threshold - SLACK
+    some = store.write(members.select("node").distinct())
+    known = store.write(rows.withColumnRenamed("uid", "node").join(some, "node").select("node", "text", "darts", "bands"))
+    darts, texts, least = known.select("node", "darts"), known.select("node", "text"), threshold - slack
     comps = None
     for k in range(rounds + 1):
         labelled = store.write(_labelled(members, comps))
@@ -187,14 +231,16 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
             met = _apart(met, comps)
             found = store.write(_verified(_estimated(met, darts, least), texts, threshold, words, weights).where("ok").select("x", "y"))
         else:
-            found = store.write(_blocks(labelled, buckets, known, threshold, words, weights, chunk))
+            left = labelled.join(buckets.select("band", "key"), ["band", "key"], "left_semi")
+            likely = store.write(_likely(_chunked(left, known.drop("text"), store, chunk), least))
+            found = store.write(_links(likely.join(texts, "node"), least, threshold, words, weights))
         # What is connected already is passed on as stars, not link by link.
         links = found if comps is None else found.union(comps.select("node", "component"))
         comps = store.write(connected_components(links, store, u="x", v="y"))
         members = labelled.join(buckets.select("band", "key"), ["band", "key"], "left_semi").drop("comp")
     whole = nodes if comps is None else nodes.join(comps, "node", "left")
     whole = whole.withColumn("component", F.coalesce("component", "node") if comps is not None else F.col("node"))
-    best = whole.groupBy("component").agg(F.min("first").alias("best"))
+    best = store.write(whole.groupBy("component").agg(F.min("first").alias("best")))
     named = whole.join(best, "component").select("a", "b", F.col("best.id").alias("class_id"), F.col("best.uid").alias("best_uid"))
     return rows.join(named, ["a", "b"]).select("uid", "id", "class_id", (F.col("uid") == F.col("best_uid")).alias("kept")), store
 
