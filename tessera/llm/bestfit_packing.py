@@ -2,19 +2,26 @@
 
 Documents become token counts; those longer than a sequence are cut into full
 pieces, the first of which takes what remains. Pieces below a full sequence
-are dealt by hash into blocks of a bounded number of pieces. Each block is
-evolved by several islands, each one a row that any task can take. A genome is
-a list of bins. Crossover injects whole well-filled bins of one parent into
-the other, removes the bins that hold duplicates of injected pieces and packs
-the displaced pieces again by best fit, longest first. Between epochs the best
-genome of each island migrates to the next island of its ring. The best genome
-of a block gives its well-filled bins; what lies in the other bins is pooled
-over all blocks and packed again in fewer blocks, until one block is left.
+are dealt by hash into blocks of a bounded number of pieces. A block starts with
+best-fit decreasing; where that reaches a lower bound of the number of bins
+nothing is left to gain. The other blocks are evolved by several islands, each
+one a row that any task can take. A genome is a list of bins. Crossover injects
+whole well-filled bins of one parent into the other, removes the bins that hold
+duplicates of injected pieces, and packs the displaced pieces again: first in
+exchange for smaller ones where they fill a bin better, then by best fit, longest
+first. Between epochs the best genome of each island migrates to the next island
+of its ring, populations stay. The best genome of a block gives its well-filled
+bins; what lies in the other bins is pooled over all blocks and packed again in
+fewer blocks, until one block is left or pooling no longer closes a quarter of
+the pieces: then all bins are kept, so the number of levels is logarithmic.
 """
 
 from __future__ import annotations
 
 import array
+import bisect
+import heapq
+import itertools
 import json
 import random
 import re
@@ -25,14 +32,22 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
 
 from tessera.llm.common import Memo, Written, map_rows, read
 
 CAPACITY = 2048
-#: Pieces of a block, islands of a block, migrations, genomes of an island, generations of an epoch.
-BLOCK, ISLANDS, EPOCHS, POPULATION, GENERATIONS = 4096, 3, 2, 3, 3
-#: A bin with less free space than this share of the capacity is well filled.
-WELL = 1 / 128
+#: Pieces of a block at most, islands of a block, epochs, genomes of an island.
+BLOCK, ISLANDS, EPOCHS, POPULATION = 1024, 3, 3, 8
+#: Crossovers of an epoch, and those without a better genome after which an epoch ends.
+GENERATIONS, STALL = 40, 15
+#: A bin with at most this share of the capacity free is closed; the pieces of others are pooled.
+WELL = 1 / 1024
+#: Displaced pieces, the largest, that are tried in twos; the rest are tried one by one.
+PAIRED = 24
+#: A level that leaves more than this share of its pieces is the last.
+LEFT = 0.75
 MEMO = 300_000
 #: The pattern that byte-level tokenizers split texts with.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -98,8 +113,8 @@ def tokenizer_bytes(path: str | None = None) -> bytes:
         return f.read()
 
 
-def piece_documents(docs: DataFrame, tokenizer: bytes, *, capacity: int = CAPACITY, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
-    """(row_id, id, piece, start, length, ids_crc32[, ids]) of each document's pieces.
+def piece_documents(docs: DataFrame, tokenizer: bytes, *, capacity: int = CAPACITY, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(row_id, id, piece, start, length, ids_crc32) of each document's pieces.
 
     row_id is unique once written. A null text is empty and has the end id only.
     """
@@ -112,7 +127,6 @@ def piece_documents(docs: DataFrame, tokenizer: bytes, *, capacity: int = CAPACI
         def run(rows):
             nonlocal at
             out = {k: [] for k in ("row_id", "id", "piece", "start", "length", "ids_crc32")}
-            parts = []
             for key, text in zip(rows["id"], rows["text"]):
                 ids = tokens.encode(text or "") + end
                 n = len(ids) // 4
@@ -122,19 +136,14 @@ def piece_documents(docs: DataFrame, tokenizer: bytes, *, capacity: int = CAPACI
                     part = ids[4 * start : 4 * (start + size)]
                     for name, x in zip(out, (at, key, k, start, size, zlib.crc32(part))):
                         out[name].append(x)
-                    if with_ids:
-                        parts.append(np.frombuffer(part, "<u4").astype("<i4"))
                     start += size
                     at += 1
-            if with_ids:
-                offsets = np.concatenate([[0], np.cumsum([len(x) for x in parts])]).astype("<i4")
-                out["ids"] = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(parts) if parts else np.empty(0, "<i4")))
             return out
 
         return run
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return map_rows(rows, make, "row_id long, id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids, "text")
+    return map_rows(rows, make, "row_id long, id long, piece int, start long, length long, ids_crc32 long", "text")
 
 
 class Bins:
@@ -170,54 +179,133 @@ class Bins:
         self.open(k, free - size)
 
 
-def _cost(bins: list[list[int]], free: list[int], capacity: int) -> tuple[int, float]:
-    return len(bins), -sum((1 - f / capacity) ** 2 for f in free)
+def bound(sizes: list[int], capacity: int) -> int:
+    """A lower bound of the number of bins: by volume, and by pieces that cannot share a bin."""
+    x = np.sort(np.asarray(sizes, np.int64))
+    if not len(x):
+        return 0
+    total, best = np.concatenate([[0], np.cumsum(x)]), -(-int(x.sum()) // capacity)
+    half = int(np.searchsorted(x, capacity // 2, "right"))  # pieces from here on need a bin each
+    for k in np.unique(x[:half]).tolist() + [capacity // 2 + 1]:
+        alone, low = int(np.searchsorted(x, capacity - k, "right")), int(np.searchsorted(x, k, "left"))
+        middle = max(0, alone - half)
+        room = middle * capacity - int(total[max(alone, half)] - total[half])
+        rest = int(total[half] - total[min(low, half)])
+        best = max(best, len(x) - half + max(0, -(-(rest - room) // capacity)))
+    return best
+
+
+def best_fit(sizes: list[int], capacity: int, noise: float = 0.0, rng: random.Random | None = None) -> list[list[int]]:
+    """Best-fit decreasing; with noise the order is blurred by that share of a size."""
+    out = Bins(sizes, capacity)
+    for i in sorted(range(len(sizes)), key=(lambda i: -sizes[i]) if rng is None else lambda i: -sizes[i] * (1 + noise * rng.random())):
+        out.fit(i)
+    return out.items
 
 
-def _finish(kept: list[tuple[list[int], int]], loose: list[int], sizes: list[int], capacity: int):
+class _Loose:
+    """Displaced pieces by size, and sums of two of the largest."""
+
+    def __init__(self, sizes: list[int], items: list[int]):
+        self.sizes, self.held = sizes, set(items)
+        singles = sorted((sizes[i], i) for i in items)
+        some = singles[-PAIRED:]
+        pairs = sorted((x + y, i, j) for k, (x, i) in enumerate(some) for y, j in some[:k])
+        self.one, self.ones = [x for x, _ in singles], [i for _, i in singles]
+        self.two, self.twos = [x[0] for x in pairs], [x[1:] for x in pairs]
+
+    def take(self, low: int, high: int) -> tuple[int, ...] | None:
+        """One or two pieces of a size above low and up to high, the largest."""
+        held, best = self.held, None
+        k = bisect.bisect_right(self.one, high) - 1
+        while k >= 0 and self.one[k] > low:
+            if self.ones[k] in held:
+                low, best = self.one[k], (self.ones[k],)
+                break
+            k -= 1
+        k = bisect.bisect_right(self.two, high) - 1
+        while k >= 0 and self.two[k] > low:
+            i, j = self.twos[k]
+            if i in held and j in held:
+                return i, j
+            k -= 1
+        return best
+
+    def swap(self, out: tuple[int, ...], back: tuple[int, ...]) -> None:
+        self.held.difference_update(out)
+        for i in back:
+            self.held.add(i)
+            k = bisect.bisect_right(self.one, self.sizes[i])
+            self.one.insert(k, self.sizes[i])
+            self.ones.insert(k, i)
+
+
+def _refilled(kept: list[tuple[list[int], int]], items: list[int], sizes: list[int], capacity: int) -> list[list[int]]:
+    """All bins, once displaced pieces took the place of smaller ones in kept bins and the rest was packed by best fit."""
+    loose = _Loose(sizes, items)
     out = Bins(sizes, capacity)
-    for items, free in kept:
-        out.put(list(items), free)
-    for i in sorted(loose, key=lambda i: -sizes[i]):
+    for held, free in kept:
+        if free > 0 and loose.held:
+            for back in itertools.chain(((i,) for i in held), itertools.combinations(held, 2) if len(held) <= 8 else ()):
+                size = sizes[back[0]] if len(back) == 1 else sizes[back[0]] + sizes[back[1]]
+                if found := loose.take(size, size + free):
+                    loose.swap(found, back)
+                    held = [i for i in held if i not in back] + list(found)
+                    free = capacity - sum(sizes[i] for i in held)
+                    break
+        out.put(list(held), free)
+    for i in sorted(loose.held, key=lambda i: (-sizes[i], i)):
         out.fit(i)
     return out.items
 
 
-def evolve(sizes: list[int], capacity: int, seed: int, elites: list[list[list[int]]], population: int = POPULATION, generations: int = GENERATIONS) -> list[list[int]]:
-    """One epoch of an island: the best genome (a list of bins of item indexes)."""
-    rng = random.Random(seed)
-    free = lambda bins: [capacity - sum(sizes[i] for i in b) for b in bins]
-
-    def fresh(noise: float):
-        out = Bins(sizes, capacity)
-        for i in sorted(range(len(sizes)), key=lambda i: -sizes[i] * (1 + noise * rng.random())):
-            out.fit(i)
-        return out.items
-
-    pool = [e for e in elites if e]
-    while len(pool) < population:
-        pool.append(fresh(0.0 if not pool else 0.15))
-    pool = [(_cost(b, f := free(b), capacity), b, f) for b in pool]
-    bound = -(-sum(sizes) // capacity)
-    for _ in range(generations):
-        pool.sort(key=lambda x: x[0])
-        if pool[0][0][0] <= bound:
-            break
-        mother, father = pool[0], pool[rng.randrange(1, len(pool))] if len(pool) > 1 else pool[0]
-        # Whole bins of the father, the fuller the likelier.
-        gift = [(b, f) for b, f in zip(father[1], father[2]) if f <= capacity * WELL and rng.random() < 0.5]
-        held = {i for b, _ in gift for i in b}
-        kept, loose = list(gift), []
-        for b, f in zip(mother[1], mother[2]):
-            if any(i in held for i in b) or f > capacity * WELL or rng.random() < 0.05:
-                loose += [i for i in b if i not in held]
-            else:
-                kept.append((b, f))
-        bins = _finish(kept, loose, sizes, capacity)
-        child = (_cost(bins, f := free(bins), capacity), bins, f)
-        if child[0] < pool[-1][0]:
-            pool[-1] = child
-    return min(pool, key=lambda x: x[0])[1]
+class Genome:
+    """Bins of item indexes with their free space. Fewer bins are better, then fuller ones."""
+
+    def __init__(self, bins: list[list[int]], sizes: list[int], capacity: int):
+        self.bins = bins
+        self.free = [capacity - sum(sizes[i] for i in b) for b in bins]
+        self.cost = len(bins), -sum((1 - f / capacity) ** 2 for f in self.free)
+
+
+def crossed(mother: Genome, father: Genome, sizes: list[int], capacity: int, rng: random.Random) -> Genome:
+    """mother with well-filled bins of father, fuller than his mean; her bins that hold their pieces go, and some of her emptiest and of chance."""
+    hers = {frozenset(b) for b in mother.bins}
+    fresh = sorted((f, k) for k, (b, f) in enumerate(zip(father.bins, father.free)) if frozenset(b) not in hers)
+    most, mean = max(1, len(fresh) // 3), sum(father.free) / len(father.free)
+    gift = [father.bins[k] for f, k in fresh[: 2 * most] if rng.random() < 0.5 and f <= mean][:most]
+    held = {i for b in gift for i in b}
+    worst = {k for _, k in heapq.nlargest(2 + rng.randrange(3), ((f, k) for k, f in enumerate(mother.free)))} | {rng.randrange(len(mother.bins)) for _ in range(2)}
+    kept, loose = [(b, capacity - sum(sizes[i] for i in b)) for b in gift], []
+    for k, (b, f) in enumerate(zip(mother.bins, mother.free)):
+        if k in worst or any(i in held for i in b):
+            loose += [i for i in b if i not in held]
+        else:
+            kept.append((b, f))
+    rng.shuffle(kept)
+    return Genome(_refilled(kept, loose, sizes, capacity), sizes, capacity)
+
+
+def evolve(sizes: list[int], capacity: int, seed: int, population: list[list[list[int]]], *, size: int = POPULATION, generations: int = GENERATIONS, least: int | None = None) -> tuple[list[list[list[int]]], int]:
+    """One epoch of an island: its population, best genome first, and the number of crossovers. least: a bound known to hold."""
+    rng, least = random.Random(seed), bound(sizes, capacity) if least is None else least
+    pool = [Genome(b, sizes, capacity) for b in population] or [Genome(best_fit(sizes, capacity), sizes, capacity)]
+    best = min(g.cost for g in pool)
+    if best[0] > least:
+        pool += [Genome(best_fit(sizes, capacity, 0.05 + 0.25 * rng.random(), rng), sizes, capacity) for _ in range(size - len(pool))]
+    done = stall = 0
+    while done < generations and stall < STALL and best[0] > least and len(sizes) > 1:
+        pick = lambda: min(rng.sample(pool, 2), key=lambda g: g.cost)
+        mother, father = pick(), pick()
+        child = crossed(mother, father, sizes, capacity, rng)
+        done, stall = done + 1, stall + 1
+        last = max(range(len(pool)), key=lambda k: pool[k].cost)
+        if child.cost < pool[last].cost and all(g.cost != child.cost for g in pool):
+            pool[last] = child
+        if child.cost < best:
+            best, stall = child.cost, 0
+    pool.sort(key=lambda g: g.cost)
+    return [g.bins for g in pool[:size]], done
 
 
 def _flat(bins: list[list[int]], n: int) -> list[int]:
@@ -235,66 +323,99 @@ def _grouped(genome: list[int]) -> list[list[int]]:
     return list(bins.values())
 
 
-def _epoch(islands: DataFrame, capacity: int, epoch: int) -> DataFrame:
-    """islands: (block, island, items array<struct<row_id, length>>, elites array<array<int>>)."""
+_STATE = "block long, island int, items array<struct<row_id:long,length:int>>, pool array<array<int>>, first int, bins int, fill double, least int, crossovers int"
 
-    def run(batches):
+
+def _by_row(df: DataFrame, run, ddl: str) -> DataFrame:
+    """Map single rows, given as dicts, to dicts."""
+    schema = to_arrow_schema(_parse_datatype_string(ddl))
+
+    def each(batches):
         for batch in batches:
-            for row in batch.to_pylist():
-                sizes = [x["length"] for x in row["items"]]
-                best = evolve(sizes, capacity, (row["block"] * 31 + row["island"]) * 31 + epoch, [_grouped(g) for g in row["elites"] or []])
-                cost = _cost(best, [capacity - sum(sizes[i] for i in b) for b in best], capacity)
-                yield pa.RecordBatch.from_pylist([{**row, "elites": [_flat(best, len(sizes))], "bins": cost[0], "fill": cost[1]}], schema=schema)
+            for k in range(batch.num_rows):
+                yield pa.RecordBatch.from_pylist([run(batch.slice(k, 1).to_pylist()[0])], schema=schema)
 
-    from pyspark.sql.types import _parse_datatype_string
-    from pyspark.sql.pandas.types import to_arrow_schema
+    return df.mapInArrow(each, ddl)
 
-    ddl = "block long, island int, items array<struct<row_id:long,length:int>>, elites array<array<int>>, bins int, fill double"
-    schema = to_arrow_schema(_parse_datatype_string(ddl))
-    return islands.mapInArrow(run, ddl)
 
+def _started(grouped: DataFrame, capacity: int) -> DataFrame:
+    """State of each block (block, items) after best-fit decreasing, on island 0."""
 
-def pack_level(items: DataFrame, blocks: int, store: Written, *, capacity: int, islands: int = ISLANDS, epochs: int = EPOCHS) -> DataFrame:
-    """Best genome of each block: (block, items, elites, bins, fill), written."""
+    def run(row):
+        sizes = [x["length"] for x in row["items"]]
+        g = Genome(best_fit(sizes, capacity), sizes, capacity)
+        return {**row, "island": 0, "pool": [_flat(g.bins, len(sizes))], "first": g.cost[0], "bins": g.cost[0], "fill": g.cost[1], "least": bound(sizes, capacity), "crossovers": 0}
+
+    return _by_row(grouped, run, _STATE)
+
+
+def _epoch(islands: DataFrame, capacity: int, epoch: int) -> DataFrame:
+    def run(row):
+        sizes = [x["length"] for x in row["items"]]
+        pool, n = evolve(sizes, capacity, (row["block"] * 31 + row["island"]) * 31 + epoch, [_grouped(g) for g in row["pool"]], least=row["least"])
+        cost = Genome(pool[0], sizes, capacity).cost
+        return {**row, "pool": [_flat(b, len(sizes)) for b in pool], "bins": cost[0], "fill": cost[1], "crossovers": row["crossovers"] + n}
+
+    return _by_row(islands, run, _STATE)
+
+
+def pack_level(items: DataFrame, blocks: int, store: Written, *, capacity: int, block: int = BLOCK, islands: int = ISLANDS, epochs: int = EPOCHS) -> DataFrame:
+    """State of each block's best genome, the first of pool, written.
+
+    A block that hashing makes larger than ``block`` is cut, so none is.
+    """
+    spark = store.spark
     key = F.pmod(F.xxhash64("row_id"), F.lit(blocks))
-    grouped = items.groupBy(key.alias("block")).agg(F.sort_array(F.collect_list(F.struct("row_id", F.col("length").cast("int").alias("length")))).alias("items"))
-    rows = grouped.select("block", F.explode(F.sequence(F.lit(0), F.lit(islands - 1))).alias("island"), "items", F.lit(None).cast("array<array<int>>").alias("elites"))
-    tasks = max(store.spark.sparkContext.defaultParallelism, min(blocks * islands, int(store.spark.conf.get("spark.sql.shuffle.partitions"))))
+    lists = items.groupBy(key.alias("block")).agg(F.sort_array(F.collect_list(F.struct("row_id", F.col("length").cast("int").alias("length")))).alias("items"))
+    parts = F.transform(F.sequence(F.lit(0), F.floor((F.size("items") - 1) / block)), lambda k: F.slice("items", (k * block + 1).cast("int"), block))
+    grouped = lists.select("block", F.posexplode(parts).alias("part", "items")).select((F.col("block") * 1024 + F.col("part")).alias("block"), "items")
+    tasks = max(spark.sparkContext.defaultParallelism, min(blocks * islands, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    start = store.write(_started(grouped.repartition(tasks, "block"), capacity))
+    open_ = start.where("bins > least")
+    if open_.isEmpty():
+        return start
+    rows, state = open_.withColumn("island", F.explode(F.sequence(F.lit(0), F.lit(islands - 1)))), None
     for epoch in range(epochs):
         state = store.write(_epoch(rows.repartition(tasks, "block", "island"), capacity, epoch))
-        # A ring of islands: each gets the elite of the one before besides its own.
-        moved = state.select("block", F.pmod(F.col("island") + 1, F.lit(islands)).alias("island"), F.col("elites").alias("came"))
-        rows = state.join(moved, ["block", "island"]).select("block", "island", "items", F.concat("elites", "came").alias("elites"))
-    best = F.min_by(F.struct("items", "elites"), F.struct("bins", "fill", "island"))
-    return state.groupBy("block").agg(best.alias("best")).select("block", "best.items", F.col("best.elites")[0].alias("genome"))
+        if state.groupBy("block").agg(F.min(F.col("bins") - F.col("least")).alias("gap")).where("gap > 0").isEmpty():
+            break
+        # A ring of islands: each gets the best genome of the one before in place of its last.
+        moved = state.select("block", F.pmod(F.col("island") + 1, F.lit(islands)).alias("island"), F.col("pool")[0].alias("came"))
+        keep = F.slice("pool", F.lit(1), F.greatest(F.size("pool") - 1, F.lit(1)))
+        rows = state.join(moved, ["block", "island"]).withColumn("pool", F.concat(keep, F.array("came"))).drop("came")
+    best = state.groupBy("block").agg(F.min(F.struct("bins", "fill", "island")).alias("x"), F.sum("crossovers").cast("int").alias("n")).select("block", "x.island", "n")
+    evolved = state.join(best, ["block", "island"]).drop("crossovers").withColumnRenamed("n", "crossovers")
+    return store.write(start.where("bins <= least").unionByName(evolved))
 
 
-def pack(pieces: DataFrame, store: Written, *, capacity: int = CAPACITY, block: int = BLOCK) -> DataFrame:
+def pack(pieces: DataFrame, store: Written, *, capacity: int = CAPACITY, block: int = BLOCK, log: list | None = None) -> DataFrame:
     """(row_id, sequence_id, offset) of each of pieces (row_id, length), 1 <= length <= capacity.
 
     Full pieces take a sequence each. Ties are broken by row_id; no piece is lost.
+    log, if given, gets for each level its pieces, blocks, the bins of best fit, of
+    the result and of the bound, and the number of crossovers.
     """
     full = pieces.where(F.col("length") >= capacity).select("row_id", (-1 - F.col("row_id")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     rest, done, level = pieces.where(F.col("length") < capacity).select("row_id", "length"), full, 0
-    n = rest.count()
-    blocks = -(-n // block)
-    while blocks:
-        last = blocks == 1
-        genomes = pack_level(rest, blocks, store, capacity=capacity)
-        placed = store.write(_places(genomes, capacity, level, last))
+    n, before = rest.count(), None
+    while n:
+        blocks = -(-n // block)
+        last = blocks == 1 or before is not None and n > LEFT * before
+        best = pack_level(rest, blocks, store, capacity=capacity, block=block)
+        if log is not None:
+            log.append({"pieces": n, **best.agg(F.count("*").alias("blocks"), F.max(F.size("items")).alias("largest"), F.sum("first").alias("best_fit"), F.sum("bins").alias("bins"), F.sum("least").alias("bound"), F.sum("crossovers").alias("crossovers")).first().asDict()})
+        placed = store.write(_places(best.select("block", "items", F.col("pool")[0].alias("genome")), capacity, level, last))
         done = done.union(placed.where("sequence_id is not null").select("row_id", "sequence_id", "offset"))
         rest = placed.where("sequence_id is null").select("row_id", "length")
-        n = 0 if last else rest.count()
-        blocks, level = min(-(-n // block), blocks - 1), level + 1
-        if blocks == 0 and n:
-            blocks = 1
+        n, before, level = 0 if last else rest.count(), n, level + 1
     return done
 
 
 def _places(genomes: DataFrame, capacity: int, level: int, last: bool) -> DataFrame:
     def run(batches):
         for batch in batches:
-            for row in batch.to_pylist():
+            for k in range(batch.num_rows):
+                row = batch.slice(k, 1).to_pylist()[0]
                 out = {"row_id": [], "length": [], "sequence_id": [], "offset": []}
                 for k, b in enumerate(_grouped(row["genome"])):
                     sizes = [row["items"][i]["length"] for i in b]
@@ -311,16 +432,17 @@ def _places(genomes: DataFrame, capacity: int, level: int, last: bool) -> DataFr
     return genomes.mapInArrow(run, "row_id long, length long, sequence_id long, offset long")
 
 
-def pack_documents(docs: DataFrame, tokenizer: bytes, *, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: bytes, *, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, log: list | None = None) -> DataFrame:
     """Pieces of all documents with their sequence and place in it.
 
     (id, piece, start, length, ids_crc32, sequence_id, offset). A null or empty
     text is one piece of the end id. Repeated rows are packed as rows of their
-    own; null ids stay null; other columns are ignored; no rows give no rows.
+    own; null ids stay null; other columns are ignored; no rows give no rows. log:
+    see pack().
     """
     store = Written(docs.sparkSession)
     pieces = store.write(piece_documents(docs, tokenizer, capacity=capacity, id_col=id_col, text_col=text_col))
-    places = pack(pieces.select("row_id", "length"), store, capacity=capacity, block=block)
+    places = pack(pieces.select("row_id", "length"), store, capacity=capacity, block=block, log=log)
     return pieces.join(places, "row_id").select(F.col("id").alias(id_col), "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 

@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import map_rows, read
+from tessera.llm.common import map_rows, map_texts, read
 
 KINDS = ("email", "ip", "card", "phone", "secret")
 BASE = KINDS[:4]
@@ -34,6 +34,7 @@ IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
+TOKEN = re.compile(r"\S++")
 LONG_TOKEN = re.compile(r"[A-Za-z0-9_\-/+=]{20,}+")
 
 #: Gazetteers.
@@ -100,34 +101,60 @@ def _near(text: str, start: int, kind: str) -> bool:
     return any(w.lower() in CUES[kind] for w in WORD.findall(text[max(0, start - 40) : start])[-4:])
 
 
+class _Free:
+    """Whether spans, asked for by rising start, overlap none of some others: each is passed over once."""
+
+    def __init__(self, taken: list[tuple[int, int]]):
+        # Base spans of different kinds may overlap: merged, their ends rise as well.
+        self.spans: list[list[int]] = []
+        for s, e in sorted(taken):
+            if self.spans and s <= self.spans[-1][1]:
+                self.spans[-1][1] = max(self.spans[-1][1], e)
+            else:
+                self.spans.append([s, e])
+        self.at = 0
+
+    def __call__(self, s: int, e: int) -> bool:
+        while self.at < len(self.spans) and self.spans[self.at][1] <= s:
+            self.at += 1
+        return self.at == len(self.spans) or self.spans[self.at][0] >= e
+
+
+def _around(text: str, at: int, low: int) -> tuple[int, int]:
+    """What stands around a place up to white space, from low on."""
+    m = TOKEN.match(text, at)
+    s = at
+    while s > low and not text[s - 1].isspace():
+        s -= 1
+    return s, m.end()
+
+
 def candidates(text: str, base: dict[str, list[tuple[int, int]]]):
-    """(kind, start, end, votes) of candidates beyond the base spans, and of these themselves."""
+    """(kind, start, end, votes) of candidates beyond the base spans, and of these themselves. Linear in the text."""
     taken = []
     for kind, spans in base.items():
         for s, e in spans:
             taken.append((s, e))
             yield kind, s, e, _votes(kind, text, s, e, True)
-    free = lambda s, e: not any(s < y and x < e for x, y in taken)
     if "@" in text:
-        at = text.find("@")
+        at, e, free = text.find("@"), 0, _Free(taken)
         while at >= 0:
-            s = e = at
-            while s > 0 and at - s < 64 and not text[s - 1].isspace():
-                s -= 1
-            while e < len(text) and e - at < 256 and not text[e].isspace():
-                e += 1
+            s, e = _around(text, at, e)
             if free(s, e):
                 yield "email", s, e, _votes("email", text, s, e, False)
-            at = text.find("@", e if e > at else at + 1)
+            at = text.find("@", e)
     if DIGIT.search(text):
+        free = _Free(taken)
         for m in CARD.finditer(text):
             s, e = m.span()
-            digits = m[0].replace(" ", "").replace("-", "")
-            if len(digits) >= 8 and free(s, e):
-                kind = "card" if len(digits) >= 13 else "phone"
-                yield kind, s, e, _votes(kind, text, s, e, False)
+            if e - s >= 8 and free(s, e):
+                digits = m[0].replace(" ", "").replace("-", "")
+                if len(digits) >= 8:
+                    kind = "card" if len(digits) >= 13 else "phone"
+                    yield kind, s, e, _votes(kind, text, s, e, False)
+        free = _Free(taken)
         for m in LONG_TOKEN.finditer(text):
-            if DIGIT.search(m[0]) and free(*m.span()) and not m[0].isdigit():
+            if free(*m.span()) and DIGIT.search(m[0]) and not m[0].isdigit():
                 yield "secret", *m.span(), _votes("secret", text, *m.span(), False)
 
 
@@ -273,23 +300,23 @@ def mask_text(text: str, model: dict[str, list[float]]) -> str:
 
 
 def mask(docs: DataFrame, model: dict[str, list[float]] | None = None, *, text_col: str = "text", size_col: str | None = None) -> DataFrame:
-    """docs with masked texts, all columns kept; size_col is set to the new number of characters.
+    """docs with masked texts, all columns kept; size_col, if docs has it, is set to the new number of characters.
 
-    Null texts stay null.
+    Null and empty texts stay, repeated rows and ids stay apart. Without rows the
+    model has no kinds.
     """
     import pyarrow as pa
 
     model = train(docs, text_col=text_col) if model is None else model
 
-    def run(batches):
-        for batch in batches:
-            i = batch.schema.get_field_index(text_col)
-            texts = [None if t is None else mask_text(t, model) for t in batch.column(i).to_pylist()]
-            columns = [pa.array(texts, batch.schema.field(i).type) if j == i else c for j, c in enumerate(batch.columns)]
-            yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
+    def run(batch):
+        i = batch.schema.get_field_index(text_col)
+        texts = [None if t is None else mask_text(t, model) for t in batch.column(i).to_pylist()]
+        columns = [pa.array(texts, batch.schema.field(i).type) if j == i else c for j, c in enumerate(batch.columns)]
+        return pa.RecordBatch.from_arrays(columns, schema=batch.schema)
 
-    out = docs.mapInArrow(run, docs.schema)
-    return out if size_col is None else out.withColumn(size_col, F.length(text_col).cast(docs.schema[size_col].dataType))
+    out = map_texts(docs, run, docs.schema, text_col)
+    return out if size_col not in docs.columns else out.withColumn(size_col, F.length(text_col).cast(docs.schema[size_col].dataType))
 
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,16 +18,19 @@ original text.
 from __future__ import annotations
 
 import re
+import struct
 
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructType
 
-from tessera.llm.common import Written, map_rows, read
+from tessera.llm.common import Written, map_rows, map_texts, read
 
 #: Words that a run of repeated units must have, a unit at its ends, and a repeated line or paragraph.
 MIN_WORDS, END_WORDS, LINE_WORDS = 25, 3, 4
+_TWO = struct.Struct(">qq")
 _CUT = re.compile(r"\s*\n\s*|(?<=[.!?…])\s+|\s+(?=[A-ZÀ-ÖØ-ÞΑ-ΩА-Я])")
 _ENDS = " \t.,;:!?…\"'()[]。｡，、；：！？「」『』（）"
 #: Characters of scripts without spaces: those that stand for half a word, and for a quarter.
@@ -52,10 +55,9 @@ def normal(unit: str) -> str:
     return " ".join(unit.lower().split()).strip(_ENDS)
 
 
-def digest(unit: str) -> int:
-    """64 bits as a signed integer."""
-    x = xxhash.xxh3_64_intdigest(normal(unit))
-    return x - (1 << 64) if x >> 63 else x
+def digest(unit: str) -> tuple[int, int]:
+    """128 bits as two signed integers: of 10^12 different units two are alike with probability below 10^-14."""
+    return _TWO.unpack(xxhash.xxh3_128_digest(normal(unit)))
 
 
 def size(text: str) -> int:
@@ -75,7 +77,7 @@ def blocks(text: str, spans: list[tuple[int, int]]) -> tuple[list[tuple[int, int
     return lines, [x for x in paragraphs if x not in known]
 
 
-def passages(text: str) -> list[tuple[int, int]]:
+def passages(text: str) -> list[tuple[int, tuple[int, int]]]:
     """(mark, digest) of units k (mark 3 k), and of lines (1 more) and paragraphs (2 more) of several units from k on."""
     spans = units(text)
     out = [(3 * k, digest(text[s:e])) for k, (s, e) in enumerate(spans)]
@@ -150,62 +152,60 @@ def repeated_units(docs: DataFrame, store: Written, *, id_col: str = "doc_id", t
 
     def make():
         def run(rows):
-            out = {"id": [], "key": [], "at": [], "digest": []}
+            out = {"id": [], "key": [], "at": [], "a": [], "b": []}
             for i, key, t in zip(rows["id"], rows["key"], rows["text"]):
                 found = passages(t or "")
                 out["id"] += [i] * len(found)
                 out["key"] += [key] * len(found)
                 out["at"] += [at for at, _ in found]
-                out["digest"] += [x for _, x in found]
+                out["a"] += [x[0] for _, x in found]
+                out["b"] += [x[1] for _, x in found]
             return out
 
         return run
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), _key(F.col(text_col)).alias("key"), F.col(text_col).alias("text")).where("text <> ''")
-    found = store.write(map_rows(rows, make, "id long, key long, at int, digest long", "text"))
+    found = store.write(map_rows(rows, make, "id long, key long, at int, a long, b long", "text"))
     # Id and place as one number, so that minima are combined in hash tables before
     # the shuffle, and one join that can be split where a digest is hot does the rest.
     place = F.coalesce("id", F.lit(2**63 - 1)).cast("decimal(19,0)") * F.lit(2**31).cast("decimal(10,0)") + F.col("at").cast("decimal(10,0)")
-    first = found.groupBy("digest").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1").drop("n")
+    first = found.groupBy("a", "b").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1").drop("n")
     # Written, so that the join has plain exchanges on both sides: only then can a hot digest be split.
     first = store.write(first)
-    later = found.join(first, "digest").where(place > F.col("first"))
+    later = found.join(first, ["a", "b"]).where(place > F.col("first"))
     return later.groupBy("id", "key").agg(F.collect_set("at").alias("repeated"))
 
 
 def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size_col: str | None = None, min_words: int = MIN_WORDS, spans_col: str | None = None) -> DataFrame:
     """Rows of docs with repeated passages removed from their texts; all columns are kept.
 
-    size_col is set to the new number of characters; spans_col, if given, is
-    added: original offsets of what was removed, "start:end" joined by commas.
-    Null and empty texts stay as they are. Rows that repeat an id rank alike:
-    each keeps what the id holds first. Null ids come last. A row stays even
-    when all of its text goes.
+    size_col, if docs has it, is set to the new number of characters; spans_col,
+    if given, is added: original offsets of what was removed, "start:end" joined
+    by commas. It takes the place of a column of that name. Null and empty texts
+    stay as they are. Rows that repeat an id rank alike: each keeps what the id
+    holds first. Null ids come last. A row stays even when all of its text goes.
     """
-    spark = docs.sparkSession
-    store = Written(spark)
+    if spans_col is not None:
+        docs = docs.drop(*(c for c in docs.columns if c.lower() == spans_col.lower()))
+    store = Written(docs.sparkSession)
     found = repeated_units(docs, store, id_col=id_col, text_col=text_col)
     found = found.select(F.col("id").alias("__tsr_id"), F.col("key").alias("__tsr_key"), F.col("repeated").alias("__tsr_repeated"))
     whole = docs.join(found, docs[id_col].cast("long").eqNullSafe(F.col("__tsr_id")) & (_key(docs[text_col]) == F.col("__tsr_key")), "left").drop("__tsr_id", "__tsr_key")
     names = docs.columns
 
-    def run(batches):
-        for batch in batches:
-            i, j = batch.schema.get_field_index(text_col), batch.schema.get_field_index("__tsr_repeated")
-            texts, gone = [], []
-            for t, r in zip(batch.column(i), batch.column(j)):
-                r, t = r.as_py(), t.as_py()
-                runs = repeated_runs(t, units(t), r, min_words) if r and t else []
-                texts.append(without(t, runs) if runs else t)
-                gone.append(",".join(f"{s}:{e}" for s, e in runs))
-            columns = [pa.array(texts, batch.schema.field(k).type) if k == i else c for k, c in enumerate(batch.columns) if k != j]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(gone)], names=[*names, "__tsr_spans"])
-
-    from pyspark.sql.types import StringType, StructType
-
-    schema = StructType([*docs.schema.fields]).add("__tsr_spans", StringType())
-    out = whole.mapInArrow(run, schema)
-    if size_col is not None:
+    def run(batch):
+        i, j = batch.schema.get_field_index(text_col), batch.schema.get_field_index("__tsr_repeated")
+        texts, gone = [], []
+        for t, r in zip(batch.column(i), batch.column(j)):
+            r, t = r.as_py(), t.as_py()
+            runs = repeated_runs(t, units(t), r, min_words) if r and t else []
+            texts.append(without(t, runs) if runs else t)
+            gone.append(",".join(f"{s}:{e}" for s, e in runs))
+        columns = [pa.array(texts, batch.schema.field(k).type) if k == i else c for k, c in enumerate(batch.columns) if k != j]
+        return pa.RecordBatch.from_arrays([*columns, pa.array(gone, pa.string())], names=[*names, "__tsr_spans"])
+
+    out = map_texts(whole, run, StructType([*docs.schema.fields]).add("__tsr_spans", StringType()), text_col)
+    if size_col in docs.columns:
         out = out.withColumn(size_col, F.length(text_col).cast(docs.schema[size_col].dataType))
     return out.drop("__tsr_spans") if spans_col is None else out.withColumnRenamed("__tsr_spans", spans_col)
 
