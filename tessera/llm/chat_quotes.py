@@ -142,7 +142,7 @@ def _walked(rows: DataFrame, store: Written) -> DataFrame:
         new = store.write(moved.union(walk.where("to is null")))
         store.drop(walk)
         walk = new
-    return walk.where("e % 2 = 0").select((F.col("e") / 2).cast("long").alias("uid"), ((F.col("end") - 1) / 2).cast("long").alias("root"), "left")
+    return walk.where("e % 2 = 0").select(F.expr("e div 2").alias("uid"), F.expr("(`end` - 1) div 2").alias("root"), "left")
 
 
 def format_chats(messages: DataFrame, **columns) -> DataFrame:

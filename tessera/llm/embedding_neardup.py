@@ -3,17 +3,20 @@
 Unit vectors with a cosine of t or more lie within sqrt(2 - 2t) of each other.
 A bounded sample gives a tree of nested levels whose radii halve; every vector
 descends it to a leaf, and neighbouring leaves form chunks of bounded size (a
-large leaf several). Pairs of chunks whose covering radii keep them apart are
-dropped. The others meet in a group each, where both chunks' own trees of
-nested levels, radii halving again, are traversed together: a pair of nodes
-farther apart than both covering radii and the distance is pruned, and pairs
-of leaves are computed. No pair of vectors is ever a row: a group gives each
-vector's number of links, and a forest that connects what the links connect.
-Equal vectors are one vector with a weight.
+large leaf several). Neighbouring chunks are nodes of a tree, level by level. It
+is traversed against itself from the top: pairs of nodes farther apart than both
+covering radii and the distance are pruned, the others give way to the pairs of
+their children. Pairs of chunks that are left meet in a group each, where both
+chunks' own trees of nested levels, radii halving again, are traversed in the
+same way, and pairs of leaves are computed. No pair of vectors is ever a row: a
+group gives each vector's number of links, and a forest that connects what the
+links connect. Equal vectors are one vector with a weight.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -25,6 +28,10 @@ from tessera.llm.vectors import fitted, matrix, valid
 THRESHOLD = 0.95
 #: Vectors of the sample that the top levels are made from, and of a chunk; points of a leaf; children of a node.
 SAMPLE, CHUNK, LEAF, FAN = 2048, 4096, 48, 32
+#: Children of a node of the tree over chunks.
+WIDE = 64
+#: Cosines this close to the threshold are summed again, in one order and without rounding between.
+CLOSE = 1e-12
 
 
 def unit(m: np.ndarray) -> np.ndarray:
@@ -95,7 +102,7 @@ def linked_leaves(a: Node, b: Node, distance: float):
 
 
 def links(xa: np.ndarray, wa: np.ndarray, xb: np.ndarray | None, wb: np.ndarray | None, threshold: float):
-    """Links of two chunks, or of one (xb None): weights linked to each row, and a root row for each.
+    """Links of two chunks, or of one (xb None): weights linked to each row, a root row for each, and how many pairs were computed.
 
     Rows of b are numbered behind those of a.
     """
@@ -105,9 +112,13 @@ def links(xa: np.ndarray, wa: np.ndarray, xb: np.ndarray | None, wb: np.ndarray
     counts, root = np.zeros(n, np.int64), np.arange(n)
     ta = cover(xa)
     tb = ta if same else cover(xb)
-    met = []
+    met, pairs = [], 0
     for p, q in linked_leaves(ta, tb, float(np.sqrt(max(0.0, 2 - 2 * threshold)))):
-        hit = xa[p.points] @ xb[q.points].T >= threshold
+        cosines = xa[p.points] @ xb[q.points].T
+        hit = cosines >= threshold
+        for i, j in zip(*np.nonzero(np.abs(cosines - threshold) < CLOSE)):
+            hit[i, j] = math.fsum((xa[p.points[i]] * xb[q.points[j]]).tolist()) >= threshold
+        pairs += hit.size
         if p is q and same:
             np.fill_diagonal(hit, False)
         if not hit.any():
@@ -128,7 +139,7 @@ def links(xa: np.ndarray, wa: np.ndarray, xb: np.ndarray | None, wb: np.ndarray
             changed |= bool((low < root[cols]).any())
             root[cols] = np.minimum(root[cols], low)
         root = root[root]
-    return counts, root
+    return counts, root, pairs
 
 
 def leaves_of(sample: np.ndarray, distance: float) -> np.ndarray:
@@ -143,13 +154,14 @@ def leaves_of(sample: np.ndarray, distance: float) -> np.ndarray:
     return np.array(out) if out else np.zeros((0, sample.shape[1] if sample.ndim == 2 else 0))
 
 
-def near_duplicates(vectors: DataFrame, *, threshold: float = THRESHOLD, id_col: str = "vec_id", vector_col: str = "embedding", chunk: int = CHUNK, sample: int = SAMPLE) -> DataFrame:
+def near_duplicates(vectors: DataFrame, *, threshold: float = THRESHOLD, id_col: str = "vec_id", vector_col: str = "embedding", chunk: int = CHUNK, sample: int = SAMPLE, log: dict | None = None) -> DataFrame:
     """(id, n_links, component_id, kept) of each row.
 
     Links are pairs of rows with cosine >= threshold in doubles. component_id is
     the smallest id that links lead to. Vectors that are null, zero, empty or hold
     null or non-finite components link with nothing; shorter ones count as padded
     with zeros. Rows that repeat an id are rows of their own; null ids count last.
+    log, if given, gets the pairs of different vectors computed, and all of them.
     """
     spark = vectors.sparkSession
     store = Written(spark)
@@ -185,12 +197,17 @@ def near_duplicates(vectors: DataFrame, *, threshold: float = THRESHOLD, id_col:
         of = table[F.col("leaf")]
         place = of["s"] + F.pmod(F.xxhash64("node"), of["n"])
         chunks = store.write(points.select(F.floor(place / size).alias("chunk"), "node", "w", "v").groupBy("chunk").applyInArrow(_chunk_row, "chunk long, width int, nodes binary, ws binary, m binary, centre array<double>, radius double"))
-        made = store.write(_pairs(chunks, -(-total // size), threshold, distance))
+        near = _near_chunks(chunks, -(-total // size), distance, store)
+        found = store.write(_pairs(chunks, near, threshold))
+        made = found.where("node is not null")
+        if log is not None:
+            log.update(computed=found.where("node is null").agg(F.sum("n")).first()[0], all=total * (total + 1) // 2)
         counted = made.groupBy("node").agg(F.sum("n").alias("n"))
         comps = connected_components(made.where("root <> node"), store, u="node", v="root")
         nodes = points.select("node", "w", "id", "k1", "k2").join(counted, "node", "left").join(comps, "node", "left").select("k1", "k2", (F.coalesce("n", F.lit(0)) + F.col("w") - 1).alias("n"), "id", F.coalesce("component", "node").alias("component"))
         nodes = store.write(nodes)
-        least = nodes.groupBy("component").agg(F.min("id").alias("c"))
+        # Written, so that a large component can be split in the join.
+        least = store.write(nodes.groupBy("component").agg(F.min("id").alias("c")))
         nodes = nodes.join(least, "component").select("k1", "k2", "n", "c")
         out = rows.join(nodes, (rows.k1 == nodes.k1) & (rows.k2 == nodes.k2) & rows.v.isNotNull(), "left")
     else:
@@ -210,13 +227,40 @@ def _chunk_row(t: pa.Table) -> pa.Table:
     return pa.table({"chunk": pa.array([t.column("chunk")[0].as_py()], pa.int64()), "width": pa.array([raw.shape[1]], pa.int32()), "nodes": [t.column("node").to_numpy().astype("<i8").tobytes()], "ws": [t.column("w").to_numpy().astype("<i8").tobytes()], "m": [m], "centre": pa.array([centre.tolist()], pa.list_(pa.float64())), "radius": [radius]})
 
 
-def _pairs(chunks: DataFrame, n: int, threshold: float, distance: float) -> DataFrame:
-    """(node, n, root) of each pair of chunks that may hold links."""
-    ends = chunks.select("chunk", "centre", "radius")
-    lists = ends.withColumn("j", F.explode(F.sequence(F.col("chunk"), F.lit(n - 1).cast("long"))))
-    other = ends.select(F.col("chunk").alias("j"), F.col("centre").alias("cj"), F.col("radius").alias("rj"))
-    gap = F.sqrt(F.aggregate(F.zip_with("centre", "cj", lambda a, b: (F.coalesce(a, F.lit(0.0)) - F.coalesce(b, F.lit(0.0))) * (F.coalesce(a, F.lit(0.0)) - F.coalesce(b, F.lit(0.0)))), F.lit(0.0), lambda s, x: s + x))
-    near = lists.join(other, "j").where(gap <= F.col("radius") + F.col("rj") + distance + 1e-9).select(F.col("chunk").alias("i"), "j")
+def _parents(wide: int):
+    """Of groups of nodes (node, centre, radius): a node that covers them."""
+
+    def run(t: pa.Table) -> pa.Table:
+        c, r = matrix(t.column("centre").to_pylist()), t.column("radius").to_numpy()
+        centre = c.mean(0)
+        radius = float((np.sqrt(((c - centre) ** 2).sum(1)) + r).max())
+        return pa.table({"node": pa.array([t.column("node")[0].as_py() // wide], pa.int64()), "centre": pa.array([centre.tolist()], pa.list_(pa.float64())), "radius": [radius]})
+
+    return run
+
+
+def _near_chunks(chunks: DataFrame, n: int, distance: float, store: Written, wide: int = WIDE) -> DataFrame:
+    """Pairs (i, j), i <= j, of n chunks that may hold links, by a dual descent of the tree over them."""
+    levels, sizes = [store.write(chunks.select(F.col("chunk").alias("node"), "centre", "radius"))], [n]
+    while sizes[-1] > wide:
+        up = levels[-1].groupBy(F.floor(F.col("node") / wide).alias("up")).applyInArrow(_parents(wide), "node long, centre array<double>, radius double")
+        levels.append(store.write(up))
+        sizes.append(-(-sizes[-1] // wide))
+    square = lambda a, b: (F.coalesce(a, F.lit(0.0)) - F.coalesce(b, F.lit(0.0))) * (F.coalesce(a, F.lit(0.0)) - F.coalesce(b, F.lit(0.0)))
+    gap = F.sqrt(F.aggregate(F.zip_with("ci", "cj", square), F.lit(0.0), lambda s, x: s + x))
+    side = lambda level, key: level.select(F.col("node").alias(key), F.col("centre").alias(f"c{key}"), F.col("radius").alias(f"r{key}"))
+    pairs = levels[-1].select(F.col("node").alias("i"), F.explode(F.sequence(F.col("node"), F.lit(sizes[-1] - 1).cast("long"))).alias("j"))
+    for depth in range(len(levels) - 1, -1, -1):
+        near = pairs.join(side(levels[depth], "i"), "i").join(side(levels[depth], "j"), "j").where(gap <= F.col("ri") + F.col("rj") + distance + 1e-9).select("i", "j")
+        if not depth:
+            return near
+        near = store.write(near)
+        below = lambda c: F.explode(F.sequence(F.col(c) * wide, F.least((F.col(c) + 1) * wide, F.lit(sizes[depth - 1]).cast("long")) - 1))  # noqa: E731, B023
+        pairs = near.withColumn("a", below("i")).withColumn("b", below("j")).where("a <= b").select(F.col("a").alias("i"), F.col("b").alias("j"))
+
+
+def _pairs(chunks: DataFrame, near: DataFrame, threshold: float) -> DataFrame:
+    """(node, n, root) of each pair (i, j) of near; one row more of each, without node, counts the pairs computed."""
     body = ["width", "nodes", "ws", "m"]
     side = lambda key: chunks.select(F.col("chunk").alias(key), *(F.col(c).alias(f"{c}_{key}") for c in body))
     met = near.join(side("i"), "i").join(side("j"), "j")
@@ -233,13 +277,14 @@ def _pairs(chunks: DataFrame, n: int, threshold: float, distance: float) -> Data
                 row = batch.slice(k, 1).to_pylist()[0]
                 na, wa, xa = load(row, "i")
                 if row["i"] == row["j"]:
-                    nodes, (counts, root) = na, links(xa, wa, None, None, threshold)
+                    nodes, (counts, root, computed) = na, links(xa, wa, None, None, threshold)
                 else:
                     nb, wb, xb = load(row, "j")
                     width = max(xa.shape[1], xb.shape[1])
-                    nodes, (counts, root) = np.concatenate([na, nb]), links(fitted(xa, width), wa, fitted(xb, width), wb, threshold)
+                    nodes, (counts, root, computed) = np.concatenate([na, nb]), links(fitted(xa, width), wa, fitted(xb, width), wb, threshold)
                 some = counts > 0
-                yield pa.RecordBatch.from_arrays([pa.array(nodes[some]), pa.array(counts[some]), pa.array(nodes[root[some]])], names=["node", "n", "root"])
+                parts = nodes[some].tolist() + [None], counts[some].tolist() + [computed], nodes[root[some]].tolist() + [None]
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in parts], names=["node", "n", "root"])
 
     return met.mapInArrow(run, "node long, n long, root long")
 

@@ -52,7 +52,7 @@ def suffixes(host: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
 
 
-def judged(urls: DataFrame, rules: DataFrame, *, rule_count: int | None = None) -> DataFrame:
+def judged(urls: DataFrame, rules: DataFrame, store: Written, *, rule_count: int | None = None) -> DataFrame:
     """urls (host, path, ...) with rule and rule_verdict of the longest rule that fits; null without one.
 
     Distinct (host, path) pairs are matched, so that a hot host costs as many rows
@@ -64,7 +64,9 @@ def judged(urls: DataFrame, rules: DataFrame, *, rule_count: int | None = None)
     keys = urls.select("host", "path").distinct()
     fits = keys.withColumn("__h", F.explode(suffixes(F.col("host")))).join(side, "__h").where(F.col("path").startswith(F.col("__p")))
     best = fits.groupBy("host", "path").agg(F.max(F.struct((F.length("__h") + F.length("__p")).alias("n"), F.concat("__h", "__p").alias("rule"), F.col("__v").alias("verdict"))).alias("b"))
-    return urls.join(best.select(F.col("host"), F.col("path"), F.col("b.rule").alias("rule"), F.col("b.verdict").alias("rule_verdict")), ["host", "path"], "left")
+    # Written, as what is joined by component below: a join with plain exchanges on both sides can be split where a key is hot.
+    best = store.write(best.select("host", "path", F.col("b.rule").alias("rule"), F.col("b.verdict").alias("rule_verdict")))
+    return urls.join(best, ["host", "path"], "left")
 
 
 def link_edges(pages: DataFrame, *, url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -139,18 +141,15 @@ def filter_urls(pages: DataFrame, rules: DataFrame | None = None, *, id_col: str
         edges = more if edges is None else edges.union(more)
     url = F.col(url_col)
     rows = pages.select(F.col(id_col).alias("id"), url.alias("url"), host_of(url).alias("host"), path_of(url).alias("path"))
-    own = judged(rows, rules, rule_count=n)
-    if edges is not None:
-        edges = store.write(edges.where("u is not null and v is not null"))
-    if edges is None or edges.isEmpty():
-        out = own.withColumn("verdict", F.coalesce("rule_verdict", F.lit("allow"))).withColumn("component", F.lit(None).cast("string"))
-    else:
-        comps = store.write(connected_components(edges, store))
-        named = judged(comps.select("node", "component", host_of(F.col("node")).alias("host"), path_of(F.col("node")).alias("path")), rules, rule_count=n)
-        # Explicit allow goes before block.
-        decided = named.groupBy("component").agg(F.min("rule_verdict").alias("passed_on"))
-        known = comps.join(decided, "component").select(F.col("node").alias("__node"), "component", "passed_on")
-        out = own.join(known, address(F.col("url")) == F.col("__node"), "left").withColumn("verdict", F.coalesce("rule_verdict", "passed_on", F.lit("allow")))
+    own = judged(rows, rules, store, rule_count=n)
+    if edges is None:
+        edges = spark.createDataFrame([], "u string, v string")
+    comps = store.write(connected_components(edges.where("u is not null and v is not null"), store))
+    named = judged(comps.select("node", "component", host_of(F.col("node")).alias("host"), path_of(F.col("node")).alias("path")), rules, store, rule_count=n)
+    # Explicit allow goes before block.
+    decided = store.write(named.groupBy("component").agg(F.min("rule_verdict").alias("passed_on")))
+    known = comps.join(decided, "component").select(F.col("node").alias("__node"), "component", "passed_on")
+    out = own.join(known, address(F.col("url")) == F.col("__node"), "left").withColumn("verdict", F.coalesce("rule_verdict", "passed_on", F.lit("allow")))
     return out.select(F.col("id").alias(id_col), "host", "path", "rule", "verdict", "component")
 
 
