@@ -12,8 +12,8 @@ exchange for smaller ones where they fill a bin better, then by best fit, longes
 first. Between epochs the best genome of each island migrates to the next island
 of its ring, populations stay. The best genome of a block gives its well-filled
 bins; what lies in the other bins is pooled over all blocks and packed again in
-fewer blocks, until one block is left or pooling no longer closes a quarter of
-the pieces: then all bins are kept, so the number of levels is logarithmic.
+fewer blocks, until one block is left. From level to level less full bins count
+as well filled, in the end all, so there are nine levels at most.
 """
 
 from __future__ import annotations
@@ -35,20 +35,20 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
 
-from tessera.llm.common import Memo, Written, map_rows, read
+from tessera.llm.common import Memo, Written, kept, map_rows, read
 
 CAPACITY = 2048
 #: Pieces of a block at most, islands of a block, epochs, genomes of an island.
-BLOCK, ISLANDS, EPOCHS, POPULATION = 1024, 3, 3, 8
+BLOCK, ISLANDS, EPOCHS, POPULATION = 1024, 3, 3, 6
 #: Crossovers of an epoch, and those without a better genome after which an epoch ends.
-GENERATIONS, STALL = 40, 15
-#: A bin with at most this share of the capacity free is closed; the pieces of others are pooled.
-WELL = 1 / 1024
+GENERATIONS, STALL = 30, 10
+#: A bin with at most this share of the capacity free is closed at the first level; the pieces of others are pooled.
+WELL = 1 / 256
+#: Times this share a level later, or times its cube after a level that leaves more than LEFT of its pieces.
+LOOSER, LEFT = 2, 0.75
 #: Displaced pieces, the largest, that are tried in twos; the rest are tried one by one.
 PAIRED = 24
-#: A level that leaves more than this share of its pieces is the last.
-LEFT = 0.75
-MEMO = 300_000
+MEMO = 150_000
 #: The pattern that byte-level tokenizers split texts with.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -122,7 +122,7 @@ def piece_documents(docs: DataFrame, tokenizer: bytes, *, capacity: int = CAPACI
     end = np.array([end_id], "<u4").tobytes()
 
     def make():
-        tokens, at = Tokens(shared.value), TaskContext.get().partitionId() << 36
+        tokens, at = kept("tokens", shared.value, Tokens), TaskContext.get().partitionId() << 36
 
         def run(rows):
             nonlocal at
@@ -323,7 +323,8 @@ def _grouped(genome: list[int]) -> list[list[int]]:
     return list(bins.values())
 
 
-_STATE = "block long, island int, items array<struct<row_id:long,length:int>>, pool array<array<int>>, first int, bins int, fill double, least int, crossovers int"
+_START = "block long, ids array<long>, sizes array<int>, genome array<int>, first int, bins int, least int"
+_ISLAND = "block long, island int, sizes array<int>, pool array<array<int>>, bins int, fill double, least int, crossovers int"
 
 
 def _by_row(df: DataFrame, run, ddl: str) -> DataFrame:
@@ -339,28 +340,27 @@ def _by_row(df: DataFrame, run, ddl: str) -> DataFrame:
 
 
 def _started(grouped: DataFrame, capacity: int) -> DataFrame:
-    """State of each block (block, items) after best-fit decreasing, on island 0."""
+    """Best-fit decreasing of each block (block, ids, sizes), and the bound."""
 
     def run(row):
-        sizes = [x["length"] for x in row["items"]]
-        g = Genome(best_fit(sizes, capacity), sizes, capacity)
-        return {**row, "island": 0, "pool": [_flat(g.bins, len(sizes))], "first": g.cost[0], "bins": g.cost[0], "fill": g.cost[1], "least": bound(sizes, capacity), "crossovers": 0}
+        bins = best_fit(row["sizes"], capacity)
+        return {**row, "genome": _flat(bins, len(row["sizes"])), "first": len(bins), "bins": len(bins), "least": bound(row["sizes"], capacity)}
 
-    return _by_row(grouped, run, _STATE)
+    return _by_row(grouped, run, _START)
 
 
 def _epoch(islands: DataFrame, capacity: int, epoch: int) -> DataFrame:
     def run(row):
-        sizes = [x["length"] for x in row["items"]]
+        sizes = row["sizes"]
         pool, n = evolve(sizes, capacity, (row["block"] * 31 + row["island"]) * 31 + epoch, [_grouped(g) for g in row["pool"]], least=row["least"])
         cost = Genome(pool[0], sizes, capacity).cost
         return {**row, "pool": [_flat(b, len(sizes)) for b in pool], "bins": cost[0], "fill": cost[1], "crossovers": row["crossovers"] + n}
 
-    return _by_row(islands, run, _STATE)
+    return _by_row(islands, run, _ISLAND)
 
 
 def pack_level(items: DataFrame, blocks: int, store: Written, *, capacity: int, block: int = BLOCK, islands: int = ISLANDS, epochs: int = EPOCHS) -> DataFrame:
-    """State of each block's best genome, the first of pool, written.
+    """(block, ids, sizes, genome, first, bins, least, crossovers) of each block's best genome.
 
     A block that hashing makes larger than ``block`` is cut, so none is.
     """
@@ -368,24 +368,33 @@ def pack_level(items: DataFrame, blocks: int, store: Written, *, capacity: int,
     key = F.pmod(F.xxhash64("row_id"), F.lit(blocks))
     lists = items.groupBy(key.alias("block")).agg(F.sort_array(F.collect_list(F.struct("row_id", F.col("length").cast("int").alias("length")))).alias("items"))
     parts = F.transform(F.sequence(F.lit(0), F.floor((F.size("items") - 1) / block)), lambda k: F.slice("items", (k * block + 1).cast("int"), block))
-    grouped = lists.select("block", F.posexplode(parts).alias("part", "items")).select((F.col("block") * 1024 + F.col("part")).alias("block"), "items")
+    grouped = lists.select("block", F.posexplode(parts).alias("part", "items")).select((F.col("block") * 1024 + F.col("part")).alias("block"), F.col("items.row_id").alias("ids"), F.col("items.length").alias("sizes"))
     tasks = max(spark.sparkContext.defaultParallelism, min(blocks * islands, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     start = store.write(_started(grouped.repartition(tasks, "block"), capacity))
-    open_ = start.where("bins > least")
-    if open_.isEmpty():
-        return start
-    rows, state = open_.withColumn("island", F.explode(F.sequence(F.lit(0), F.lit(islands - 1)))), None
+    rows = start.where("bins > least").select("block", F.explode(F.sequence(F.lit(0), F.lit(islands - 1))).alias("island"), "sizes", F.array("genome").alias("pool"), "bins", F.lit(0.0).alias("fill"), "least", F.lit(0).alias("crossovers"))
+    done = []
     for epoch in range(epochs):
-        state = store.write(_epoch(rows.repartition(tasks, "block", "island"), capacity, epoch))
-        if state.groupBy("block").agg(F.min(F.col("bins") - F.col("least")).alias("gap")).where("gap > 0").isEmpty():
+        if (start.where("bins > least") if not epoch else gaps).isEmpty():
             break
+        state = store.write(_epoch(rows.repartition(tasks, "block", "island"), capacity, epoch))
+        done.append(state)
+        # Blocks that have met the bound are left alone from here on.
+        gaps = state.groupBy("block").agg(F.min(F.col("bins") - F.col("least")).alias("gap")).where("gap > 0")
         # A ring of islands: each gets the best genome of the one before in place of its last.
         moved = state.select("block", F.pmod(F.col("island") + 1, F.lit(islands)).alias("island"), F.col("pool")[0].alias("came"))
         keep = F.slice("pool", F.lit(1), F.greatest(F.size("pool") - 1, F.lit(1)))
-        rows = state.join(moved, ["block", "island"]).withColumn("pool", F.concat(keep, F.array("came"))).drop("came")
-    best = state.groupBy("block").agg(F.min(F.struct("bins", "fill", "island")).alias("x"), F.sum("crossovers").cast("int").alias("n")).select("block", "x.island", "n")
-    evolved = state.join(best, ["block", "island"]).drop("crossovers").withColumnRenamed("n", "crossovers")
-    return store.write(start.where("bins <= least").unionByName(evolved))
+        rows = state.join(moved, ["block", "island"]).join(gaps.select("block"), "block", "left_semi").withColumn("pool", F.concat(keep, F.array("came"))).drop("came")
+    if not done:
+        return start.withColumn("crossovers", F.lit(0).cast("long"))
+    every = done[0].withColumn("epoch", F.lit(0))
+    for epoch, state in enumerate(done[1:], 1):
+        every = every.unionByName(state.withColumn("epoch", F.lit(epoch)))
+    # An island's count goes on over its epochs; its last one has all.
+    counts = every.groupBy("block", "island").agg(F.max("crossovers").alias("n")).groupBy("block").agg(F.sum("n").alias("crossovers"))
+    best = every.groupBy("block").agg(F.min(F.struct("bins", "fill", "epoch", "island", F.col("pool")[0].alias("genome"))).alias("x")).join(counts, "block")
+    best = best.select("block", F.col("x.genome").alias("evolved"), F.col("x.bins").alias("fewer"), "crossovers")
+    out = start.join(best, "block", "left").withColumn("genome", F.coalesce("evolved", "genome")).withColumn("bins", F.coalesce("fewer", "bins"))
+    return store.write(out.withColumn("crossovers", F.coalesce("crossovers", F.lit(0).cast("long"))).drop("evolved", "fewer"))
 
 
 def pack(pieces: DataFrame, store: Written, *, capacity: int = CAPACITY, block: int = BLOCK, log: list | None = None) -> DataFrame:
@@ -397,32 +406,36 @@ def pack(pieces: DataFrame, store: Written, *, capacity: int = CAPACITY, block:
     """
     full = pieces.where(F.col("length") >= capacity).select("row_id", (-1 - F.col("row_id")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     rest, done, level = pieces.where(F.col("length") < capacity).select("row_id", "length"), full, 0
-    n, before = rest.count(), None
+    n, well = rest.count(), WELL
     while n:
         blocks = -(-n // block)
-        last = blocks == 1 or before is not None and n > LEFT * before
+        last = blocks == 1 or well >= 1
         best = pack_level(rest, blocks, store, capacity=capacity, block=block)
         if log is not None:
-            log.append({"pieces": n, **best.agg(F.count("*").alias("blocks"), F.max(F.size("items")).alias("largest"), F.sum("first").alias("best_fit"), F.sum("bins").alias("bins"), F.sum("least").alias("bound"), F.sum("crossovers").alias("crossovers")).first().asDict()})
-        placed = store.write(_places(best.select("block", "items", F.col("pool")[0].alias("genome")), capacity, level, last))
+            log.append({"pieces": n, **best.agg(F.count("*").alias("blocks"), F.max(F.size("sizes")).alias("largest"), F.sum("first").alias("best_fit"), F.sum("bins").alias("bins"), F.sum("least").alias("bound"), F.sum("crossovers").alias("crossovers")).first().asDict()})
+        placed = store.write(_places(best.select("block", "ids", "sizes", "genome"), capacity, level, 1.0 if last else well))
         done = done.union(placed.where("sequence_id is not null").select("row_id", "sequence_id", "offset"))
         rest = placed.where("sequence_id is null").select("row_id", "length")
-        n, before, level = 0 if last else rest.count(), n, level + 1
+        left = 0 if last else rest.count()
+        well *= LOOSER**3 if left > LEFT * n else LOOSER
+        n, level = left, level + 1
     return done
 
 
-def _places(genomes: DataFrame, capacity: int, level: int, last: bool) -> DataFrame:
+def _places(genomes: DataFrame, capacity: int, level: int, well: float) -> DataFrame:
+    """(row_id, length, sequence_id, offset) of all pieces, without sequence_id in bins with more than the share well free."""
+
     def run(batches):
         for batch in batches:
             for k in range(batch.num_rows):
                 row = batch.slice(k, 1).to_pylist()[0]
                 out = {"row_id": [], "length": [], "sequence_id": [], "offset": []}
                 for k, b in enumerate(_grouped(row["genome"])):
-                    sizes = [row["items"][i]["length"] for i in b]
-                    keep = last or capacity - sum(sizes) <= capacity * WELL
+                    sizes = [row["sizes"][i] for i in b]
+                    keep = capacity - sum(sizes) <= capacity * well
                     at = 0
                     for i, size in zip(b, sizes):
-                        out["row_id"].append(row["items"][i]["row_id"])
+                        out["row_id"].append(row["ids"][i])
                         out["length"].append(size)
                         out["sequence_id"].append((level << 56) + (row["block"] << 16) + k if keep else None)
                         out["offset"].append(at)

@@ -57,6 +57,17 @@ class Memo(dict):
         return found
 
 
+_KEPT: dict[str, tuple[int, object]] = {}
+
+
+def kept(kind: str, data: bytes, make: Callable[[bytes], object]):
+    """make(data), made once in a Python worker while its tasks ask with the same data; one object of a kind is kept."""
+    key = hash(data)
+    if kind not in _KEPT or _KEPT[kind][0] != key:
+        _KEPT[kind] = key, make(data)
+    return _KEPT[kind][1]
+
+
 #: Stores whose tables are still there, and those made in each open scope.
 _STORES: dict[str, "Written"] = {}
 _SCOPES: list[list["Written"]] = []

@@ -21,7 +21,6 @@ normalisation) are handled with dummy prefix, escaped spaces and byte fallback.
 from __future__ import annotations
 
 import array
-import hashlib
 import re
 import zlib
 
@@ -30,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Memo, map_rows, read
+from tessera.llm.common import Memo, kept, map_rows, read
 
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -230,22 +229,18 @@ class Codec:
             return np.frombuffer(b"".join([self._word(w) if len(w) > MEMO_CHARS else self.memo[w] for w in words]), "<i4")
         return np.frombuffer(b"".join(map(self.memo.__getitem__, words)), "<i4")
 
-    def decode(self, ids) -> str:
+    def decode(self, ids: list) -> str:
+        """The text of ids; null ids and ids that the model doesn't have are unknown pieces."""
         table = self.model.decoded
+        if ids and (None in ids or min(ids) < 0 or max(ids) >= len(table)):
+            ids = [i if i is not None and 0 <= i < len(table) else self.model.unk for i in ids]
         text = b"".join([table[i] for i in ids]).decode("utf-8", "replace")
         return text[1:] if self.model.dummy_prefix and text[:1] == " " else text
 
 
-_CODECS: dict[bytes, Codec] = {}
-
-
 def codec_of(data: bytes) -> Codec:
-    """The process's codec of a model; the tasks of a worker share its memos. One model is held at a time."""
-    key = hashlib.sha256(data).digest()
-    if key not in _CODECS:
-        _CODECS.clear()
-        _CODECS[key] = Codec(data)
-    return _CODECS[key]
+    """The worker's codec of a model; its tasks share the memos."""
+    return kept("codec", data, Codec)
 
 
 def encode_documents(docs: DataFrame, model: bytes, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -281,7 +276,7 @@ def encode_documents(docs: DataFrame, model: bytes, *, id_col: str = "doc_id", t
 
 
 def decode_documents(encoded: DataFrame, model: bytes, *, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
-    """(id, text) of each row of ids; null or empty ids give an empty text."""
+    """(id, text) of each row of ids; null or empty ids give an empty text, ids that the model doesn't have unknown marks."""
     shared = encoded.sparkSession.sparkContext.broadcast(model)
 
     def make():

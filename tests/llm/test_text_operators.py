@@ -15,6 +15,7 @@ from tessera.llm import pii_spans as pii
 from tessera.llm import quality_classifier as quality
 from tessera.llm import sentencepiece_codec as sp
 from tessera.llm import substring_dedup as sub
+from tessera.llm.common import Written
 
 SCHEMA = "doc_id long, text string, source string, label string, node long"
 ODD = [None, "", " ", "\n", "a", "  two  spaces\n\n and\tmore ", "x" * 30_000, "日本語 ½ 😀", "same text here twice over again", "same text here twice over again"]
@@ -88,12 +89,46 @@ def test_packing_is_whole_gapless_and_close_to_the_bound(spark):
     assert len(by[0]) == 2 and len(seqs) <= -(-sum(r.length for r in got) // 256) + 2
 
 
-def test_genomes_hold_each_item_once():
-    rng = random.Random(3)
-    sizes = [rng.randint(1, 99) for _ in range(300)]
-    first = pack.evolve(sizes, 100, 1, [], 1, 0)
-    best = pack.evolve(sizes, 100, 2, [first], 3, 20)
-    assert sorted(i for b in best for i in b) == list(range(300)) and all(sum(sizes[i] for i in b) <= 100 for b in best) and len(best) <= len(first)
+def plain_bound(sizes, capacity):
+    """Volume, and for each k: large pieces need a bin each, small ones only fit beside those below capacity - k."""
+    best = -(-sum(sizes) // capacity)
+    for k in range(1, capacity // 2 + 2):
+        alone = [x for x in sizes if x > capacity - k]
+        middle = [x for x in sizes if capacity // 2 < x <= capacity - k]
+        small = [x for x in sizes if k <= x <= capacity // 2]
+        best = max(best, len(alone) + len(middle) + max(0, -(-(sum(small) - (len(middle) * capacity - sum(middle))) // capacity)))
+    return best
+
+
+def test_bounds_hold():
+    rng = random.Random(1)
+    for _ in range(200):
+        sizes = [rng.randint(1, 20) for _ in range(rng.randint(0, 12))]
+        assert pack.bound(sizes, 20) == (plain_bound(sizes, 20) if sizes else 0) <= len(pack.best_fit(sizes, 20))
+
+
+@pytest.mark.parametrize("kind", ["triples", "uniform"])
+def test_evolution_gains_bins_over_best_fit(kind):
+    rng, sizes = random.Random(3), []
+    while len(sizes) < 240:
+        a = rng.randint(780, 1000)
+        b = rng.randint(500, (2048 - a) // 2)
+        sizes += [a, b, 2048 - a - b] if kind == "triples" else [rng.randint(500, 900) for _ in range(3)]
+    first = pack.best_fit(sizes, 2048)
+    pool, crossings = pack.evolve(sizes, 2048, 2, [first], generations=60)
+    best = pool[0]
+    assert sorted(i for b in best for i in b) == list(range(240)) and all(sum(sizes[i] for i in b) <= 2048 for b in best)
+    assert len(best) <= 0.95 * len(first) and len(best) >= pack.bound(sizes, 2048) and crossings > 10
+
+
+def test_islands_beat_best_fit_and_levels_are_few(spark):
+    rng, store, log = random.Random(4), Written(spark), []
+    rows = [(i, rng.randint(500, 900)) for i in range(600)]
+    got = pack.pack(spark.createDataFrame(rows, "row_id long, length long"), store, block=200, log=log)
+    assert got.count() == 600 and log[0]["bins"] < log[0]["best_fit"] and log[0]["crossovers"] > 50 and max(x["largest"] for x in log) <= 200
+    log = []
+    got = pack.pack(spark.range(64).selectExpr("id AS row_id", "1100L AS length"), store, block=8, log=log)
+    assert got.select("sequence_id").distinct().count() == 64 and len(log) <= 5 and max(x["largest"] for x in log) <= 8
 
 
 PLAIN = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
