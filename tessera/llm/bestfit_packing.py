@@ -48,7 +48,7 @@ WELL = 1 / 256
 LOOSER, LEFT = 2, 0.75
 #: Displaced pieces, the largest, that are tried in twos; the rest are tried one by one.
 PAIRED = 24
-MEMO = 150_000
+MEMO = 250_000
 #: The pattern that byte-level tokenizers split texts with.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -70,11 +70,9 @@ class Tokens:
         self.tokenizer = Tokenizer.from_buffer(data)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.engine = _ranked(json.loads(data), set(self.special))
-        self.memo = Memo(lambda p: self._one(p if p[:1] == "\n" else " " + p), MEMO)
-        self.bare = Memo(self._one, MEMO)
-
-    def _one(self, word: str) -> bytes:
-        return array.array("I", self.engine.encode_ordinary(word)).tobytes()
+        ids, packed = self.engine and self.engine.encode_ordinary, array.array
+        self.memo = Memo(lambda p: packed("I", ids(p if p[:1] == "\n" else " " + p)).tobytes(), MEMO)
+        self.bare = Memo(lambda p: packed("I", ids(p)).tobytes(), MEMO // 10)
 
     def encode(self, text: str) -> bytes:
         """The text's ids as little-endian unsigned 32-bit integers."""
