@@ -21,7 +21,7 @@ import xxhash
 
 #: Signature length and the bands it is cut into; words of a shingle.
 K, BANDS, WORDS = 128, 32, 5
-_A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
+_A, _B, _C, _D = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0xD1342543DE82EF95)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -85,18 +85,23 @@ def _throw(x: np.ndarray, w: np.ndarray, at: np.ndarray, limit: np.ndarray):
     owner, ranks, darts = [], [], []
     low, width = 0.0, 1.0
     while (own := w > low).any():
-        e, weight, of = mix(x[own] ^ np.uint64(round(low * 2) + 1)), w[own], at[own]
-        r, most = np.zeros(len(e)), limit[of]
-        while len(e):
-            e = mix(e)
-            r = r - np.log(_unit(e)) / width
-            near = r <= most
-            e, r, weight, of, most = e[near], r[near], weight[near], of[near], most[near]
+        base, weight, of = mix(x[own] ^ np.uint64(round(low * 2) + 1)), w[own], at[own]
+        r, most = np.zeros(len(base)), limit[of]
+        # An element's darts come by their number: 1, 2, 4 ... at once, alike for every set, so that ranks are rounded alike.
+        n, some = 0, 1
+        while len(base):
+            e = mix(base[:, None] + np.arange(n, n + some, dtype=np.uint64) * _D)
+            rank = r[:, None] - np.cumsum(np.log(_unit(e)), axis=1) / width
+            hit = near = rank <= most[:, None]
             # An element of weight 1 or more owns all of [0, 1).
-            hit = slice(None) if low == 0 and width == 1 and weight.min(initial=1) >= 1 else low + width * _unit(mix(e ^ _B)) < weight
-            owner.append(of[hit])
-            ranks.append(r[hit])
+            if low > 0 or weight.min() < 1:
+                hit = near & (low + width * _unit(mix(e ^ _B)) < weight[:, None])
+            owner.append(of[np.nonzero(hit)[0]])
+            ranks.append(rank[hit])
             darts.append(e[hit])
+            on = near[:, -1]
+            r, base, weight, of, most = rank[on, -1], base[on], weight[on], of[on], most[on]
+            n, some = n + some, min(2 * some, 256)
         low, width = (1.0, 1.0) if low == 0 else (low * 2, low * 2)
     return np.concatenate(owner), np.concatenate(ranks), np.concatenate(darts)
 

@@ -80,7 +80,7 @@ def _estimated(pairs: DataFrame, darts: DataFrame, least: float) -> DataFrame:
         for b in batches:
             if b.num_rows:
                 dx, dy = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint8).reshape(b.num_rows, K) for i in (2, 3))
-                yield b.select([0, 1]).filter(pa.array((dx == dy).mean(1) >= least))
+                yield b.select([0, 1]).filter(pa.array(np.count_nonzero(dx == dy, axis=1) >= least * K))
 
     return both.mapInArrow(run, "x long, y long")
 
@@ -155,8 +155,8 @@ class _Block:
         right = np.flatnonzero(self.c == self.j)
         for a in np.flatnonzero(self.c == self.i):
             r = right[(self.root[right] != self.root[a]) & ((self.node[right] > self.node[a]) if self.i == self.j else True)]
-            r = r[(self.darts[r] == self.darts[a]).mean(1) >= self.cut]
             r = r[~(self.bands[r, : self.band] == self.bands[a, : self.band]).any(1)] if self.band else r
+            r = r[np.count_nonzero(self.darts[r] == self.darts[a], axis=1) >= self.cut * K]
             if len(r):
                 yield a, r
 
@@ -231,7 +231,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
             met = _apart(met, comps)
             found = store.write(_verified(_estimated(met, darts, least), texts, threshold, words, weights).where("ok").select("x", "y"))
         else:
-            left = labelled.join(buckets.select("band", "key"), ["band", "key"], "left_semi")
+            left = store.write(labelled.join(buckets.select("band", "key"), ["band", "key"], "left_semi"))
             likely = store.write(_likely(_chunked(left, known.drop("text"), store, chunk), least))
             found = store.write(_links(likely.join(texts, "node"), least, threshold, words, weights))
         # What is connected already is passed on as stars, not link by link.
