@@ -115,14 +115,15 @@ def links(xa: np.ndarray, wa: np.ndarray, xb: np.ndarray | None, wb: np.ndarray
     met, pairs = [], 0
     for p, q in linked_leaves(ta, tb, float(np.sqrt(max(0.0, 2 - 2 * threshold)))):
         cosines = xa[p.points] @ xb[q.points].T
-        hit = cosines >= threshold
-        for i, j in zip(*np.nonzero(np.abs(cosines - threshold) < CLOSE)):
-            hit[i, j] = math.fsum((xa[p.points[i]] * xb[q.points[j]]).tolist()) >= threshold
+        hit = cosines >= threshold - CLOSE
         pairs += hit.size
         if p is q and same:
             np.fill_diagonal(hit, False)
         if not hit.any():
             continue
+        some = np.argwhere(hit)
+        for i, j in some[cosines[hit] < threshold + CLOSE]:
+            hit[i, j] = math.fsum((xa[p.points[i]] * xb[q.points[j]]).tolist()) >= threshold
         counts[p.points] += hit @ wb[q.points]
         if not (p is q and same):
             counts[q.points + shift] += hit.T @ wa[p.points]
