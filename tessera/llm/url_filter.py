@@ -144,7 +144,9 @@ def filter_urls(pages: DataFrame, rules: DataFrame | None = None, *, id_col: str
     own = judged(rows, rules, store, rule_count=n)
     if edges is None:
         edges = spark.createDataFrame([], "u string, v string")
-    comps = store.write(connected_components(edges.where("u is not null and v is not null"), store))
+    # Written, so that the long expressions of links are evaluated once.
+    edges = store.write(edges.where("u is not null and v is not null"))
+    comps = store.write(connected_components(edges, store))
     named = judged(comps.select("node", "component", host_of(F.col("node")).alias("host"), path_of(F.col("node")).alias("path")), rules, store, rule_count=n)
     # Explicit allow goes before block.
     decided = store.write(named.groupBy("component").agg(F.min("rule_verdict").alias("passed_on")))
