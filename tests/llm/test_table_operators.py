@@ -1,6 +1,8 @@
 """Operators on pages, conversations and vectors, and the pipeline, with odd rows."""
 
 import random
+import time
+from collections import Counter
 
 import numpy as np
 
@@ -56,6 +58,57 @@ def test_links_of_any_length_relative_or_with_entities(spark):
     assert [tuple(r) for r in url.link_edges(df).collect()] == [("http://a.net", "http://a.net/p")]
 
 
+def test_pages_whose_links_were_lost_or_made_up(spark):
+    long = "http://a.com/de/" + "x" * 3000
+    pages = [
+        (1, "http://q.net/1", f'<link rel="canonical" href="{long}">'), (2, "http://q.net/login/2", '<link rel=canonical href="/login?u=http://z.com/de/1">'), (3, "http://a.com/de/dir/p", "x"), (4, "http://q.net/d/4", '<link rel="canonical" href="other.html">'),
+        (5, "http://q.net/d/other.html", '<link rel="canonical" href="http://b.com/de/5">'), (6, "http://q.net/d/e/6", '<link rel="canonical" href="../other.html">'), (7, "http://q.net/7", '<link rel="canonical" href="?v">'), (8, "http://q.net/7?v", '<meta http-equiv=refresh content="0;url=http://b.com/de/8">'),
+        (9, "http://q.net/9", '<link rel="canonical" href="#top">'), (10, "http://q.net/10?a=1&b=2", '<link rel="canonical" href="http://b.com/de/10">'), (11, "http://q.net/11", '<link rel="canonical" href="http://q.net/10?a=1&amp;b=2">'),
+    ]
+    got = {r.page_id: r.verdict for r in url.filter_urls(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got == {k: "allow" if k in (2, 9) else "block" for k in range(1, 12)}
+
+
+def test_equal_rules_block_and_the_longest_wins(spark):
+    rules = spark.createDataFrame([("a.net", "/x", "allow"), ("a.net", "/x", "block"), ("net", "/", "block"), ("a.net", "/", "allow")], "host string, path string, verdict string")
+    pages = spark.createDataFrame([(1, "http://a.net/x/y", None), (2, "http://a.net/y", None), (3, "http://b.net/", None)], "page_id long, url string, html string")
+    assert {r.page_id: (r.rule, r.verdict) for r in url.filter_urls(pages, rules).collect()} == {1: ("a.net/x", "block"), 2: ("a.net/", "allow"), 3: ("net/", "block")}
+
+
+def test_verdicts_equal_union_find(spark):
+    """Made-up links with a hub, chains and cycles; rules decide on some pages only."""
+    rng = random.Random(11)
+    hosts = ["a.org", "b.com", "c.net", "d.net", "sub.example.org"]
+    paths = ["/fr/", "/de/", "/x/", "/es/", "/en/1"]
+    urls = [f"http://{rng.choice(hosts if k % 3 else hosts[2:4])}{rng.choice(paths)}{k}" for k in range(300)]
+    links = [(k, rng.randrange(300)) for k in range(0, 300, 4)] + [(k, 7) for k in range(100, 180)] + [(k, k + 1) for k in range(200, 240)]
+    html: dict[int, str] = {}
+    for a, b in links:
+        html[a] = html.get(a, "") + f'<link rel="canonical" href="{urls[b]}">'
+    redirects = [(urls[260], urls[261]), (urls[261], urls[262]), (urls[262], urls[260])]
+    root = list(range(300))
+    find = lambda x: x if root[x] == x else find(root[x])
+    for a, b in links + [(260, 261), (261, 262)]:
+        root[max(find(a), find(b))] = min(find(a), find(b))
+
+    def own(u):
+        host, path = u[7:].split("/", 1)
+        fits = [(len(h + p), v) for h, p, v in url.RULES if (host == h or host.endswith("." + h)) and ("/" + path).startswith(p)]
+        return max(fits)[1] if fits else None
+
+    decided: dict[int, set] = {}
+    for k, u in enumerate(urls):
+        decided.setdefault(find(k), set()).add(own(u))
+    expected = {k: own(u) or min(decided[find(k)] - {None}, default="allow") for k, u in enumerate(urls)}
+    pages = spark.createDataFrame([(k, u, html.get(k)) for k, u in enumerate(urls)], "page_id long, url string, html string")
+    got = url.filter_urls(pages, redirects=spark.createDataFrame(redirects, "u string, v string")).collect()
+    assert {r.page_id: r.verdict for r in got} == expected and {"allow", "block"} == set(expected.values())
+    comps = {r.page_id: r.component for r in got}
+    size = Counter(find(k) for k in range(300))
+    assert all((comps[k] is None) == (size[find(k)] == 1) for k in range(300))
+    assert len({c for c in comps.values() if c}) == sum(n > 1 for n in size.values())
+
+
 def test_quotes_link_and_go(spark):
     rows = [
         (1, 0, "user", "How do I sort?\nIn Python."), (1, 1, "assistant", "Use sorted()."), (1, 2, "user", "> use  SORTED()\n\nAnd back?"), (1, 3, "assistant", ">> How do I sort?\n>> In Python.\n> Use sorted().\nThat first."),
@@ -84,6 +137,48 @@ def test_excerpts_link_by_their_parts(spark):
     assert got[3, 0] == (4, 2), "the earliest other conversation, though its own is the earliest of all"
 
 
+def plain_chat(rows):
+    """Rows (turn, parent turn or None) of a conversation of unique turns, in reply order."""
+    below = {}
+    for t, p in sorted(rows):
+        below.setdefault(p, []).append(t)
+    out, todo = [], below.get(None, [])[::-1]
+    while todo:
+        out.append(todo.pop())
+        todo += below.get(out[-1], [])[::-1]
+    return out
+
+
+def test_replies_stand_in_the_order_of_their_trees(spark):
+    """Three levels and more, a hub that most rows quote, a long chain, nested quotes, and a turn of several rows."""
+    rng, rows, expected = random.Random(5), [], {}
+    says = lambda c, t: f"conversation {c} says this in turn {t}."
+    for c in range(4):
+        parents = {0: None}
+        for t in range(1, 40):
+            parents[t] = {0: rng.choice([None, *range(t)]), 1: 0 if t % 3 else None, 2: t - 1, 3: None}[c]
+        for t, p in parents.items():
+            quote = "" if p is None else f"> {says(c, p)}\n" + (f">> {says(c, parents[p])}\n" if parents[p] is not None else "")
+            rows.append((c, t, "user", quote + says(c, t)))
+        expected[c] = plain_chat(parents.items())
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = sorted(chat.format_chats(df).collect(), key=lambda r: (r.conv_id, r.place))
+    for c in range(4):
+        mine = [r for r in got if r.conv_id == c]
+        assert [r.turn for r in mine] == expected[c] and [r.place for r in mine] == list(range(40)) and all(r.text == says(c, r.turn) and r.n_rows == 40 for r in mine)
+    twins = spark.createDataFrame([(1, 0, "a", "first words here"), (1, 0, "b", "first words here"), (1, 1, "a", "else"), (1, 2, "a", "> first words here\nreply")], "conv_id long, turn long, role string, text string")
+    assert [(r.turn, r.role, r.text) for r in sorted(chat.format_chats(twins).collect(), key=lambda r: r.place)] == [(0, "a", "first words here"), (0, "b", "first words here"), (2, "a", "reply"), (1, "a", "else")]
+
+
+def test_long_quoted_texts_take_linear_time(spark):
+    lines = [f"line {k} of a long message" for k in range(40_000)]
+    rows = [(1, 0, "user", "\n".join(lines)), (1, 1, "user", "\n".join(f"{'>' * (k // 100 % 3 + 1)} {x}" for k, x in enumerate(lines)) + "\nI see.")]
+    began = time.monotonic()
+    got = {r.turn: r for r in chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert got[1].text == "I see." and got[1].reply_to_turn == 0 and got[1].max_level == 3 and got[1].n_quotes == 400 and time.monotonic() - began < 60
+
+
 def vectors(spark, rows):
     return spark.createDataFrame([(i, v, 0, 1) for i, v in rows], "vec_id long, embedding array<float>, node int, k1 int")
 

@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -156,6 +157,41 @@ def test_base_spans_equal_the_plain_patterns():
     assert pii.base_spans("1" * 200_000 + "a" * 200_000)["ip"] == []
 
 
+def plain_candidates(text, base):
+    """Candidates beyond the base spans, by trying every place against every span."""
+    taken, out = [x for spans in base.values() for x in spans], []
+    free = lambda s, e: all(e <= x or y <= s for x, y in taken)
+    out += [("email", m.start(), m.end()) for m in re.finditer(r"\S+", text) if "@" in m[0] and free(*m.span())]
+    for m in re.finditer(r"[0-9](?:[ -]?[0-9])+", text):
+        n = len(re.sub("[^0-9]", "", m[0]))
+        if n >= 8 and free(*m.span()):
+            out.append(("card" if n >= 13 else "phone", m.start(), m.end()))
+    out += [("secret", m.start(), m.end()) for m in re.finditer(r"[A-Za-z0-9_\-/+=]{20,}", text) if re.search("[0-9]", m[0]) and not m[0].isdigit() and free(*m.span())]
+    return sorted(out)
+
+
+def test_candidates_equal_plain_ones():
+    rng = random.Random(14)
+    bits = ["4111 1111 1111 1111", "a@b.com", "x@y", "@", "10.0.0.1", "+45 12 34 56 78", "12345678", "0123456789abcdef0123", "token=", " ", "\n", "\u00a0", "é", "word", "sk-" + "a1" * 12]
+    for _ in range(2000):
+        t = "".join(rng.choice(bits) for _ in range(rng.randrange(14)))
+        base = pii.base_spans(t)
+        known = {(k, *x) for k, spans in base.items() for x in spans}
+        assert sorted(x[:3] for x in pii.candidates(t, base) if x[:3] not in known) == plain_candidates(t, base), t
+
+
+def test_long_texts_take_linear_time():
+    model = pii.fit({})
+    began = time.monotonic()
+    text = "mail a@mail.example.com or x@y, card 4111 1111 1111 1111, call +45 12 34 56 78; " * 50_000
+    assert len(pii.find_spans(text, model)[1]) >= 150_000
+    for text in ("a@" * 500_000, "@" * 1_000_000, "9" * 1_000_000, "a" * 500_000 + "@" + "b" * 500_000, "1.2.3." * 200_000):
+        pii.find_spans(text, model)
+    assert time.monotonic() - began < 60
+    local = "a" * 100
+    assert [x[1:3] for x in pii.candidates(f"to {local}@host now", {k: [] for k in pii.BASE})] == [(3, 108)]
+
+
 def test_supervision_adds_secrets_and_keeps_base(spark):
     secret = 'token = "04dbebab91ab85687d33eeaaf9ac699e1188f962"'
     texts = [*ODD, *(f"say {secret} and mail a{i}@mail.example.com now 12345678" for i in range(8)), "x@y"]
