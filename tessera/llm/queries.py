@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-
-from pyspark.sql import DataFrame, SparkSession
-
-import corpus_pipeline
 from tessera.llm.bestfit_packing import op5_bestfit_packing
 from tessera.llm.chat_quotes import op7_chat_quotes
 from tessera.llm.embedding_neardup import op9_embedding_neardup
@@ -18,10 +14,6 @@ from tessera.llm.topk_search import op8_topk_search
 from tessera.llm.url_filter import op4_url_filter
 
 
-def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus_pipeline.run(spark, sf_dir)
-
-
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_substring_dedup": op2_substring_dedup,
@@ -33,7 +25,6 @@ QUERIES = {
     "op8_topk_search": op8_topk_search,
     "op9_embedding_neardup": op9_embedding_neardup,
     "op10_minhash_neardup": op10_minhash_neardup,
-    "pipeline": pipeline,
 }
 
 ORACLE_SQL = {
@@ -53,6 +44,13 @@ ORACLE_SQL = {
             CAST(NULL AS BIGINT) AS reply_to_conv, CAST(NULL AS BIGINT) AS reply_to_turn, count(*) OVER (PARTITION BY conv_id) AS n_rows,
             '<|' || coalesce(role, 'user') || '|>' || chr(10) || coalesce(text, '') || chr(10) || '<|end|>' || chr(10) AS formatted
         FROM conversations""",
+    "op9_embedding_neardup": r"""
+        WITH RECURSIVE v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
+        ok AS (SELECT vec_id, e, sqrt(list_inner_product(e, e)) AS n FROM v WHERE e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+        links AS (SELECT a.vec_id AS u, b.vec_id AS w FROM ok a, ok b WHERE a.vec_id <> b.vec_id AND list_inner_product(a.e, b.e) / (a.n * b.n) >= 0.95),
+        reach(u, w) AS (SELECT u, w FROM links UNION SELECT r.u, l.w FROM reach r JOIN links l ON r.w = l.u),
+        found AS (SELECT v.vec_id, (SELECT count(*) FROM links WHERE u = v.vec_id) AS n_links, least(v.vec_id, coalesce((SELECT min(w) FROM reach WHERE u = v.vec_id), v.vec_id)) AS component_id FROM v)
+        SELECT vec_id, n_links, component_id, vec_id = component_id AS kept FROM found""",
     "op8_topk_search": r"""
         WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
         scored AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score FROM v q, v c WHERE q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id),

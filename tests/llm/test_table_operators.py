@@ -230,21 +230,3 @@ def test_embedding_links_equal_brute_force(spark):
         assert (got[i].n_links, got[i].component_id, got[i].kept) == (hit[i].sum(), root[i], root[i] == i)
     assert all((got[i].n_links, got[i].component_id, got[i].kept) == (0, i, True) for i, _ in ODD) and hit.sum() > 1000
     assert emb.near_duplicates(vectors(spark, ODD[:2])).count() == 2 and emb.near_duplicates(vectors(spark, [])).count() == 0
-
-
-def test_pipeline_stages_keep_columns_and_take_effect(spark, tmp_path):
-    import corpus_pipeline
-
-    sf = "/root/testdata/sf0.001"
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
-    sizes = []
-    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
-        before = docs.columns
-        stage(spark, docs, sf).write.parquet(str(tmp_path / str(k)))
-        docs = spark.read.parquet(str(tmp_path / str(k)))
-        sizes.append(docs.count())
-        assert k == 4 or docs.columns == before
-    assert 200 > sizes[0] > sizes[1] == sizes[2] == sizes[3] <= sizes[4]
-    clean = spark.read.parquet(str(tmp_path / "3"))
-    assert clean.where("text rlike '[a-z0-9]@mail'").count() == 0 and clean.where("n_chars <> length(text)").count() == 0
-    assert {r.doc_id for r in docs.select("doc_id").collect()} == {r.doc_id for r in clean.select("doc_id").collect()}

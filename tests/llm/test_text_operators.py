@@ -41,6 +41,10 @@ def test_sentencepiece_equals_the_library_and_decodes(spark):
     for r, t in zip(got, texts):
         assert r.ids == lib.encode(t or "") and r.round_trip and r.n_ids == len(r.ids) and r.ids_crc32 == zlib.crc32(np.array(r.ids, "<u4").tobytes())
     assert sp.encode_documents(frame(spark, [], []), sp.model_bytes()).count() == 0
+    back = {r.doc_id: r.text for r in sp.decode_documents(sp.encode_documents(frame(spark, texts), sp.model_bytes()), sp.model_bytes()).collect()}
+    assert [back[i] for i in range(len(texts))] == [t or "" for t in texts]
+    odd = spark.createDataFrame([(1, None), (None, []), (2, [-1, 10**6, None])], "doc_id long, ids array<int>")
+    assert {r.doc_id: r.text for r in sp.decode_documents(odd, sp.model_bytes()).collect()} == {1: "", None: "", 2: lib.decode([0, 0, 0])[1:] if lib.decode([0, 0, 0])[:1] == " " else lib.decode([0, 0, 0])}
 
 
 def test_streaming_commits_early_and_unigram_paths_are_best():
