@@ -37,7 +37,7 @@ from tessera.llm.dart_sketch import K, WORDS, band_keys, shingles, signatures, s
 
 THRESHOLD, SLACK = 0.8, 0.25
 #: Rounds of pivots, and members of a chunk of what these leave.
-ROUNDS, CHUNK = 2, 512
+ROUNDS, CHUNK = 2, 256
 
 
 def sketch(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, weights: str = "counts") -> DataFrame:
