@@ -2,48 +2,18 @@
 
 from __future__ import annotations
 
-import datetime
-import os
 import sys
-import threading
 import time
-import uuid
 
 from tessera.operators.engine import Engine, session
 from tessera.plans.parser import Copy, Create, Delete, SqlParseError, Statement, parse
 from tessera.sources.csv_text import result_lines
+from tessera.sources.log_records import Log
 
 USAGE = "Usage: tessera -c \"SQL\" | tessera -f FILE | tessera \"SQL\"\n"
 DATA, LOG = "database", "logs/engine.log"
 
 
-def clean(message: str | None) -> str:
-    """One ASCII log field: separators become spaces, other characters UTF-16 escapes."""
-    out = []
-    for c in message or "":
-        if c in ',"\n\r':
-            out.append(" ")
-        elif ord(c) < 128:
-            out.append(c)
-        else:
-            units = c.encode("utf-16-be", "surrogatepass")
-            out += [f"\\u{units[i] << 8 | units[i + 1]:04X}" for i in range(0, len(units), 2)]
-    return "".join(out)
-
-
-class Log:
-    """Seven comma-separated fields a line: time, session, statement number, thread, level, class, message."""
-
-    def __init__(self, path: str):
-        os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
-        self.path, self.session, self.number = path, str(uuid.uuid4()), 0
-
-    def __call__(self, level: str, name: str, message: str) -> None:
-        now = datetime.datetime.now().strftime("%Y-%m-%d %H:%M:%S.%f")[:-3]
-        with open(self.path, "a", encoding="ascii") as out:
-            out.write(f"{now},{self.session},{self.number},{threading.get_ident()},{level},{name},{clean(message)}\n")
-
-
 def script_of(args: list[str]) -> str | None:
     """The script that the arguments give; None if they are wrong."""
     if len(args) == 1 and not args[0].startswith("-") or len(args) == 2 and args[0] == "-c":

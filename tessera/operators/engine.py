@@ -6,19 +6,22 @@ import os
 from collections.abc import Callable
 from dataclasses import dataclass
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.types import compare
-from tessera.operators.relational import joined
+from tessera.operators.relational import Counter, counters, filtered, joined
 from tessera.plans import binder
 from tessera.plans.parser import Copy, Create, Delete, Predicate, Select, Statement
 from tessera.sources import csv_text
 from tessera.sources.manifest import Catalog, DataFile, Table
-from tessera.sources.tables import ParquetFolder, ScanStats, file_key, prune, read_files, spark_schema, with_place
+from tessera.sources.tables import ParquetFolder, ScanStats, file_key, footers, prune, read_files, spark_schema, with_place
 
 #: Rows of a partition (one Parquet file): files of a useful size, not of a page's.
 MAX_ROWS = 1_000_000
+#: Files whose footers the driver reads for statistics; the statistics of more come from a Spark job.
+FOOTERS = 1_000
 
 
 @dataclass(frozen=True)
@@ -28,12 +31,12 @@ class Query:
     rows: DataFrame
     stats: list[ScanStats]
     versions: list[int]
-    place: tuple[DataFrame, ...] = ()
+    placed: Callable[[], DataFrame] | None = None
 
     @property
     def ordered(self) -> DataFrame:
         """The rows in scan order, for a single table; joins have no order."""
-        return self.place[0] if self.place else self.rows
+        return self.placed() if self.placed else self.rows
 
 
 @dataclass(frozen=True)
@@ -92,14 +95,25 @@ class Engine:
             stats.append(ScanStats(len(files), len(kept), len(files) - len(kept)))
             scans.append(read_files(self.spark, self.catalog, table, kept))
         rows = joined(scans, bound)
-        place = ()
-        if len(scans) == 1 and kept:
-            placed = with_place(self.spark, scans[0], kept)
-            conditions = [compare(F.col(f"`{c.name}`"), p.op, p.constant) for c, p in bound.filters[0]]
-            for c in conditions:
-                placed = placed.where(c)
-            place = (placed.orderBy("__file", "__row").select(*rows.columns),)
-        return Query(rows, stats, [pinned[t.table].current.version for t in statement.tables], place)
+
+        def placed() -> DataFrame:
+            return filtered(with_place(self.spark, scans[0], kept), bound.filters[0]).orderBy("__file", "__row").select(*rows.columns)
+
+        return Query(rows, stats, [pinned[t.table].current.version for t in statement.tables], placed if len(scans) == 1 and kept else None)
+
+    def analyze(self, statement: Select) -> list[Counter]:
+        """Row counters of each operator of a SELECT, in FROM order; scans are counted by their files' row numbers.
+
+        Each counter is a query of its own, so that none stands between a filter and its scan.
+        """
+        pinned = {t.table: self.catalog.get(t.table) for t in statement.tables}
+        bound = binder.bind_select(statement, {n: t.kinds for n, t in pinned.items()})
+        sizes, scans = [], []
+        for e, ref in enumerate(statement.tables):
+            kept = prune(pinned[ref.table].current.files, [p for _, p in bound.filters[e]])
+            sizes.append(sum(f.rows for f in kept))
+            scans.append(read_files(self.spark, self.catalog, pinned[ref.table], kept))
+        return counters(scans, bound, sizes)
 
     def _decision(self, name: str):
         def told(k, p: Predicate | None, low, high, pruned):
@@ -112,19 +126,19 @@ class Engine:
         return told
 
     def copy(self, statement: Copy) -> CopyResult:
-        """Append a headerless CSV file, all of it or nothing. Local files are read up to their present end."""
+        """Append a headerless CSV file, all of it up to its present end or nothing."""
         binder.bind_copy(statement, self.catalog.tables)
         base = self.catalog.get(statement.table)
-        stage = self.catalog.stage()
-        done = False
+        size = csv_text.length(self.spark, statement.path)
+        stage, done = self.catalog.stage(), False
         try:
-            path = statement.path
-            if "://" not in path:
-                path = csv_text.bounded_copy(path, os.path.join(self.catalog.data, stage, "source", "part.csv"))
-            lines = csv_text.numbered_lines(self.spark, path)
-            rows = csv_text.typed_rows(lines, list(base.columns), statement.path)
-            files = self._write(rows.withColumn("__slice", F.floor(F.col("ordinal") / self.max_rows)).withColumnRenamed("ordinal", "__order"), base, stage)
-            csv_text.remove(os.path.join(self.catalog.data, stage, "source"))
+            files = self._import(statement.path, base, stage, lambda: csv_text.length(self.spark, statement.path) == size)
+            if files is None:
+                # It grew meanwhile, as the engine's own log does: only its first bytes count.
+                self.catalog.drop_stage(stage)
+                copy = csv_text.bounded_copy(self.spark, statement.path, os.path.join(self.catalog.data, stage, "source", "part.csv"), size)
+                files = self._import(copy, base, stage, lambda: True, statement.path)
+                csv_text.remove(os.path.join(self.catalog.data, stage, "source"))
             table = self.catalog.commit(base, append=files)
             done = bool(files)
             return CopyResult(sum(f.rows for f in files), len(files), table.current.version)
@@ -132,11 +146,28 @@ class Engine:
             if not done:
                 self.catalog.drop_stage(stage)
 
-    def _write(self, rows: DataFrame, table: Table, stage: str) -> list[DataFile]:
-        """One file for each __slice, rows by __order; the files in order of __slice, with statistics."""
+    def _import(self, path: str, base: Table, stage: str, same: Callable[[], bool], name: str | None = None) -> list[DataFile] | None:
+        """Files of a CSV file's rows, checked while they are written; None if it is not the same any more."""
+        lines, n = csv_text.numbered_lines(self.spark, path)
+        rows = csv_text.typed_rows(lines, list(base.columns))
+        rows = rows.withColumn("__slice", F.floor(F.col("ordinal") / self.max_rows).cast("int")).withColumnRenamed("ordinal", "__order")
+        try:
+            files = self._write(rows, -(-n // self.max_rows), base, stage)
+        except PySparkException:
+            if not same():
+                return None
+            error = csv_text.first_error(lines, list(base.columns), name or path)
+            if error is None:
+                raise
+            raise error from None
+        return files if same() else None
+
+    def _write(self, rows: DataFrame, slices: int, table: Table, stage: str) -> list[DataFile]:
+        """One file for each __slice (from 0), rows by __order; the files in order of __slice, with statistics."""
         path = os.path.join(self.catalog.data, stage, "rows")
         columns = [n for n, _ in table.columns]
-        placed = rows.repartition("__slice").sortWithinPartitions("__slice", "__order").select("__slice", *(F.col(f"`{n}`") for n in columns))
+        # A slice is a partition, so that no two meet in a task while others idle.
+        placed = rows.repartitionById(max(1, slices), "__slice").sortWithinPartitions("__slice", "__order").select("__slice", *(F.col(f"`{n}`") for n in columns))
         placed.write.partitionBy("__slice").parquet(path)
         found = {}
         for folder, _, names in os.walk(path):
@@ -145,15 +176,15 @@ class Engine:
                     found[int(folder.rsplit("=", 1)[1])] = os.path.relpath(os.path.join(folder, name), self.catalog.data)
         if not found:
             return []
-        measures = [f(f"`{n}`").alias(f"{k}{i}") for i, n in enumerate(columns) for k, f in (("lo", F.min), ("hi", F.max))]
-        parts = [os.path.join(self.catalog.data, p) for p in found.values()]
-        stats = self.spark.read.schema(spark_schema(table)).parquet(*parts).groupBy(file_key().alias("f")).agg(F.count("*").alias("n"), *measures).collect()
-        by = {r.f: r for r in stats}
-        out = []
-        for k in sorted(found):
-            r = by[found[k]]
-            out.append(DataFile(found[k], r.n, {n: [r[f"lo{i}"], r[f"hi{i}"]] for i, n in enumerate(columns)}))
-        return out
+        paths = [found[k] for k in sorted(found)]
+        known = footers(self.catalog, paths, columns) if len(paths) <= FOOTERS else {}
+        rest = [p for p in paths if p not in known]
+        if rest:
+            measures = [f(f"`{n}`").alias(f"{k}{i}") for i, n in enumerate(columns) for k, f in (("lo", F.min), ("hi", F.max))]
+            read = self.spark.read.schema(spark_schema(table)).parquet(*(os.path.join(self.catalog.data, p) for p in rest))
+            for r in read.groupBy(file_key().alias("f")).agg(F.count("*").alias("n"), *measures).collect():
+                known[r.f] = DataFile(r.f, r.n, {n: [r[f"lo{i}"], r[f"hi{i}"]] for i, n in enumerate(columns)})
+        return [known[p] for p in paths]
 
     def delete(self, statement: Delete) -> DeleteResult:
         """Copy-on-write: files without matches are carried, others rewritten or removed."""
@@ -180,7 +211,7 @@ class Engine:
             new: list[DataFile] = []
             if part:
                 rest = with_place(self.spark, read_files(self.spark, self.catalog, base, part), part).where(~hit)
-                new = self._write(rest.withColumnRenamed("__file", "__slice").withColumnRenamed("__row", "__order"), base, stage)
+                new = self._write(rest.withColumnRenamed("__file", "__slice").withColumnRenamed("__row", "__order"), len(part), base, stage)
             replace = {f.path: [] for f, _ in matched} | {f.path: [g] for f, g in zip(part, new)}
             table = self.catalog.commit(base, replace=replace)
             done = bool(new)

@@ -6,6 +6,7 @@ order, strategy and build side.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -26,6 +27,40 @@ def filtered(scan: DataFrame, filters) -> DataFrame:
     return scan.where(reduce(Column.__and__, conditions)) if conditions else scan
 
 
+@dataclass(frozen=True)
+class Counter:
+    """Rows that an operator took and gave. A join's rows_in are those of its left side, probe those of its right, keys its left side's different keys."""
+
+    operator: str
+    table: str
+    rows_in: int
+    rows_out: int
+    probe: int | None = None
+    keys: int | None = None
+
+
+def counters(scans: list[DataFrame], bound: BoundSelect, sizes: list[int]) -> list[Counter]:
+    """Row counters of a SELECT: each entry's scan and filter, and each join with what stands before it; sizes: rows of the scans."""
+    out, names = [], bound.resolver.names
+    before = 0
+    for e, scan in enumerate(scans):
+        out.append(Counter("scan", names[e], sizes[e], sizes[e]))
+        rows = sizes[e]
+        if bound.filters[e]:
+            rows = filtered(scan, bound.filters[e]).count()
+            out.append(Counter("filter", names[e], sizes[e], rows))
+        if not e:
+            before = rows
+            continue
+        left = joined(scans[:e], bound)
+        places = [a.index for a, _ in bound.joins[e]]
+        keys = left.select(*(F.col(f"`{left.columns[i]}`").alias(f"k{k}") for k, i in enumerate(places))).distinct().count()
+        after = joined(scans[: e + 1], bound).count()
+        out.append(Counter("join", names[e], before, after, rows, keys))
+        before = after
+    return out
+
+
 def joined(scans: list[DataFrame], bound: BoundSelect) -> DataFrame:
     """The filtered scans joined; columns in FROM order under their output names."""
     names = output_names([(n, s.columns) for n, s in zip(bound.resolver.names, scans)])

@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
+from dataclasses import asdict
 
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.functions.types import type_of
 from tessera.operators.engine import Engine, select_parquet
+from tessera.operators.relational import counters
+from tessera.plans.binder import bind_select
 from tessera.plans.parser import parse
 from tessera.sources.csv_text import result_lines
+from tessera.sources.log_records import Log
 from tessera.sources.tables import ParquetFolder
 
 #: FROM ... WHERE ... of queries that mean the same here and in DuckDB.
@@ -46,9 +52,15 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _base(spark: SparkSession) -> str:
-    """A folder for a scratch database: shared by driver and executors on a cluster."""
+    """A folder for a scratch database, removed at the end: in the folder that driver and executors share on a cluster."""
     shared = (spark.conf.get("spark.checkpoint.dir", None) or "").removeprefix("file://")
-    return tempfile.mkdtemp(prefix="tessera-", dir=shared if shared and "://" not in shared and os.path.isdir(shared) else None)
+    if not os.path.isdir(shared):
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("The scratch database needs a mounted folder in spark.checkpoint.dir")
+        shared = None
+    base = tempfile.mkdtemp(prefix="tessera-", dir=shared)
+    atexit.register(shutil.rmtree, base, ignore_errors=True)
+    return base
 
 
 def _exported(spark: SparkSession, sf_dir: str, table: str, base: str, order: str | None = None) -> tuple[str, str]:
@@ -100,6 +112,64 @@ WRITES = {
 }
 
 
+def _counted(text: str):
+    """Row counters of a SELECT over Parquet tables as rows."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        folder, statement = ParquetFolder(spark, sf_dir), parse(f"SELECT * FROM {text};")[0]
+        scans = [folder.frame(t.table) for t in statement.tables]
+        bound = bind_select(statement, {t.table: folder.kinds(t.table) for t in statement.tables})
+        rows = [tuple(asdict(c).values()) for c in counters(scans, bound, [s.count() for s in scans])]
+        return spark.createDataFrame(rows, "operator string, table string, rows_in long, rows_out long, probe long, keys long")
+
+    return query
+
+
+_COUNTED = "customer, orders WHERE c_custkey = o_custkey AND c_mktsegment = 'BUILDING' AND o_totalprice > 400000.0"
+_COUNTED_SQL = """
+    WITH c AS (SELECT * FROM customer WHERE c_mktsegment = 'BUILDING'), o AS (SELECT * FROM orders WHERE o_totalprice > 400000.0)
+    SELECT 'scan' AS operator, 'customer' AS "table", count(*) AS rows_in, count(*) AS rows_out, CAST(NULL AS BIGINT) AS probe, CAST(NULL AS BIGINT) AS keys FROM customer
+    UNION ALL SELECT 'filter', 'customer', (SELECT count(*) FROM customer), count(*), NULL, NULL FROM c
+    UNION ALL SELECT 'scan', 'orders', count(*), count(*), NULL, NULL FROM orders
+    UNION ALL SELECT 'filter', 'orders', (SELECT count(*) FROM orders), count(*), NULL, NULL FROM o
+    UNION ALL SELECT 'join', 'orders', (SELECT count(*) FROM c), (SELECT count(*) FROM c JOIN o ON c_custkey = o_custkey), (SELECT count(*) FROM o), (SELECT count(DISTINCT c_custkey) FROM c)"""
+
+
+def _pinned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A SELECT of the version it was planned on: a COPY and a DELETE commit before its rows are read."""
+    base = _base(spark)
+    csv, create = _exported(spark, sf_dir, "supplier", base)
+    engine = Engine(spark, os.path.join(base, "db"), max_rows=40)
+    for text in (create, _COPY.format(csv=csv)):
+        engine.execute(parse(text)[0])
+    out = engine.execute(parse(_ALL)[0])
+    for text in (_COPY.format(csv=csv), "DELETE FROM supplier WHERE s_suppkey < 50;"):
+        engine.execute(parse(text)[0])
+    return out.rows
+
+
+def _live_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Levels and classes of a log that the engine wrote and imported while it wrote on."""
+    base = _base(spark)
+    csv, create = _exported(spark, sf_dir, "supplier", base)
+    log = Log(os.path.join(base, "engine.log"))
+    engine = Engine(spark, os.path.join(base, "db"), max_rows=40, log=log)
+    columns = "t STRING, session STRING, statement LONG, thread LONG, level STRING, class STRING, message STRING"
+    texts = [create, _COPY.format(csv=csv), "SELECT * FROM supplier WHERE s_suppkey < 30;", f"CREATE TABLE logs ({columns});", f"COPY logs FROM '{log.path}';"]
+    for log.number, text in enumerate(texts, 1):
+        engine.execute(parse(text)[0])
+        log("INFO", "Executor", f"statement={log.number}")
+    return engine.execute(parse("SELECT * FROM logs WHERE level = 'INFO';")[0]).rows.select("statement", "level", "class", "message")
+
+
+WRITES |= {
+    "counters": (_counted(_COUNTED), _COUNTED_SQL),
+    "snapshot_pinned": (_pinned, _LONG),
+    "live_log": (_live_log, "SELECT CAST(k AS BIGINT) AS statement, 'INFO' AS level, 'Executor' AS class, 'statement=' || k AS message FROM range(1, 5) r(k)"),
+    "join_from_order": (_select("nation, region, supplier WHERE n_regionkey = r_regionkey AND s_nationkey = n_nationkey AND r_name = 'ASIA'"), "SELECT * FROM nation, region, supplier WHERE n_regionkey = r_regionkey AND s_nationkey = n_nationkey AND r_name = 'ASIA'"),
+}
+
+
 def queries():
     return {k: _select(v) for k, v in {**PLAIN, **SELF}.items()} | {k: q for k, (q, _) in WRITES.items()}
 

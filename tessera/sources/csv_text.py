@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import os
 import shutil
 
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,50 +15,72 @@ class CsvError(ValueError):
     pass
 
 
-def bounded_copy(path: str, target: str) -> str:
-    """Copy the bytes that a local file has now: what is appended later is not read."""
-    size = os.path.getsize(path)
-    os.makedirs(os.path.dirname(target), exist_ok=True)
-    with open(path, "rb") as source, open(target, "wb") as out:
-        while size > 0 and (part := source.read(min(size, 1 << 20))):
-            out.write(part)
-            size -= len(part)
+def _hadoop(spark: SparkSession, path: str):
+    """(file system, path) of a path of any scheme; without one it is a local path."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path if "://" in path else f"file://{path}")
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def length(spark: SparkSession, path: str) -> int:
+    """Bytes that a file has now."""
+    fs, p = _hadoop(spark, path)
+    if not fs.exists(p):
+        raise FileNotFoundError(f"No such file: {path}")
+    return fs.getFileStatus(p).getLen()
+
+
+def bounded_copy(spark: SparkSession, path: str, target: str, size: int) -> str:
+    """Copy the first bytes of a file of any scheme: what was appended later is left out."""
+    (source, p), (sink, q) = _hadoop(spark, path), _hadoop(spark, target)
+    spark._jvm.org.apache.hadoop.io.IOUtils.copyBytes(source.open(p), sink.create(q), spark._jvm.java.lang.Long.valueOf(size).longValue(), True)
     return target
 
 
-def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(line, ordinal) of a text file, ordinals from 0 without gaps, in file order.
+def numbered_lines(spark: SparkSession, path: str) -> tuple[DataFrame, int]:
+    """(line, ordinal) of a text file, ordinals from 0 without gaps, in file order; and the number of lines.
 
     Rows are counted by split, so the numbering is distributed; one row a split
     reaches the driver.
     """
     # The high bits of the id are the task, so it grows within a split.
-    raw = spark.read.text(path).select(F.col("value").alias("line"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("mid"))
+    raw = spark.read.text(path if "://" in path else f"file://{path}").select(F.col("value").alias("line"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("mid"))
     splits = sorted((r.block, r.first, r.n) for r in raw.groupBy("block").agg(F.min("mid").alias("first"), F.count("*").alias("n")).collect())
     shifts, at = [], 0
     for block, first, n in splits:
         shifts.append((block, at - first))
         at += n
     if not shifts:
-        return raw.select("line", F.lit(0).cast("long").alias("ordinal"))
-    shift = F.broadcast(spark.createDataFrame(shifts, "block long, shift long"))
-    return raw.join(shift, "block").select("line", (F.col("mid") + F.col("shift")).alias("ordinal"))
+        return raw.select("line", F.lit(0).cast("long").alias("ordinal")), 0
+    # Joined by size: a few splits are broadcast, and of many none is sent to all.
+    shift = spark.createDataFrame(shifts, "block long, shift long")
+    return raw.join(shift, "block").select("line", (F.col("mid") + F.col("shift")).alias("ordinal")), at
 
 
-def typed_rows(lines: DataFrame, columns: list[tuple[str, str]], source: str) -> DataFrame:
-    """(ordinal, columns) of lines; raises for the first bad line, before anything is written."""
-    fields = F.split("line", ",", -1)
-    checks: list[Column] = [F.when(F.size(fields) != len(columns), F.concat(F.lit(f"Expected {len(columns)} fields but found "), F.size(fields).cast("string")))]
+def _checked(columns: list[tuple[str, str]]) -> tuple[list[Column], list[Column]]:
+    """Values of a row's fields, and for each rule why it is broken, or null; rows are (fields, ...)."""
+    checks: list[Column] = [F.when(F.size("fields") != len(columns), F.concat(F.lit(f"Expected {len(columns)} fields but found "), F.size("fields").cast("string")))]
     values = []
     for i, (name, kind) in enumerate(columns):
-        value, ok = typed(F.try_element_at(fields, F.lit(i + 1)), kind)
+        value, ok = typed(F.try_element_at("fields", F.lit(i + 1)), kind)
         values.append(value.alias(name))
         what = "Non-ASCII value" if kind == "STRING" else f"Invalid {kind} value"
         checks.append(F.when(~F.coalesce(ok, F.lit(False)), F.lit(f"{what} in column {name}")))
-    bad = lines.select("ordinal", F.coalesce(*checks).alias("why")).where("why is not null").agg(F.min(F.struct("ordinal", "why")).alias("first")).first().first
-    if bad is not None:
-        raise CsvError(f"{source} line {bad.ordinal + 1}: {bad.why}")
-    return lines.select("ordinal", *values)
+    return values, checks
+
+
+def typed_rows(lines: DataFrame, columns: list[tuple[str, str]]) -> DataFrame:
+    """(ordinal, columns) of lines. A job that meets a bad line fails; first_error() then tells which is the first."""
+    values, checks = _checked(columns)
+    rows = lines.select("ordinal", F.split("line", ",", -1).alias("fields"))
+    why = F.coalesce(*checks)
+    return rows.where(F.when(why.isNull(), F.lit(True)).otherwise(F.raise_error(why).cast("boolean"))).select("ordinal", *values)
+
+
+def first_error(lines: DataFrame, columns: list[tuple[str, str]], source: str) -> CsvError | None:
+    """What is wrong with the first bad line, if any is."""
+    rows = lines.select("ordinal", F.split("line", ",", -1).alias("fields"))
+    bad = rows.select("ordinal", F.coalesce(*_checked(columns)[1]).alias("why")).where("why is not null").agg(F.min(F.struct("ordinal", "why")).alias("first")).first().first
+    return None if bad is None else CsvError(f"{source} line {bad.ordinal + 1}: {bad.why}")
 
 
 def result_lines(df: DataFrame) -> DataFrame:

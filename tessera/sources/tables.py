@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 from dataclasses import dataclass
 
+import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -59,11 +60,24 @@ def file_key() -> Column:
     return F.substring_index(F.col("_metadata.file_path"), "/", -4)
 
 
+def footers(catalog: Catalog, paths: list[str], columns: list[str]) -> dict[str, DataFile]:
+    """Files by path, with the statistics of their footers; without those that lack some, as NaN or long strings do."""
+    out = {}
+    for path in paths:
+        meta = pq.read_metadata(os.path.join(catalog.data, path))
+        groups = [meta.row_group(g) for g in range(meta.num_row_groups)]
+        stats = [[g.column(i).statistics for g in groups] for i in range(len(columns))]
+        if groups and all(s is not None and s.has_min_max for xs in stats for s in xs):
+            out[path] = DataFile(path, meta.num_rows, {n: [min(s.min for s in xs), max(s.max for s in xs)] for n, xs in zip(columns, stats)})
+    return out
+
+
 def with_place(spark: SparkSession, df: DataFrame, files: list[DataFile]) -> DataFrame:
     """df of read_files with __file (position among files) and __row (place in the file)."""
     names = spark.createDataFrame([(f.path, k) for k, f in enumerate(files)], "__name string, __file int")
     placed = df.select("*", file_key().alias("__name"), F.col("_metadata.row_index").alias("__row"))
-    return placed.join(F.broadcast(names), "__name").drop("__name")
+    # Joined by size: the names of a few files are broadcast, those of very many are not.
+    return placed.join(names, "__name").drop("__name")
 
 
 class ParquetFolder:

@@ -7,11 +7,12 @@ import sys
 
 import pytest
 
-from tessera.__main__ import clean, run
+from tessera.__main__ import run
 from tessera.operators.engine import Engine
 from tessera.plans.binder import BindError
 from tessera.plans.parser import parse
 from tessera.sources.csv_text import CsvError, result_lines
+from tessera.sources.log_records import clean
 from tessera.sources.manifest import Catalog, ConflictError
 from tessera.sources.tables import ScanStats
 
