@@ -32,7 +32,12 @@ def length(spark: SparkSession, path: str) -> int:
 def bounded_copy(spark: SparkSession, path: str, target: str, size: int) -> str:
     """Copy the first bytes of a file of any scheme: what was appended later is left out."""
     (source, p), (sink, q) = _hadoop(spark, path), _hadoop(spark, target)
-    spark._jvm.org.apache.hadoop.io.IOUtils.copyBytes(source.open(p), sink.create(q), spark._jvm.java.lang.Long.valueOf(size).longValue(), True)
+    taken, given = source.open(p), sink.create(q)
+    try:
+        spark._jvm.org.apache.commons.io.IOUtils.copyLarge(taken, given, 0, size)
+    finally:
+        taken.close()
+        given.close()
     return target
 
 

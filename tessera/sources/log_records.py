@@ -55,7 +55,7 @@ def records(spark: SparkSession, *paths: str) -> DataFrame:
     names = [x.split() for x in SCHEMA.split(", ")]
     lines = spark.read.text(list(paths)).select(F.when(F.size(parts) == len(names), parts).otherwise(F.raise_error(F.concat(F.lit("Malformed log record: "), "value"))).alias("p"))
     rows = lines.select(*(F.col("p")[i].cast(kind).alias(name) for i, (name, kind) in enumerate(names)))
-    pairs = F.transform(F.regexp_extract_all("message", F.lit(r"(\\w+=\\S+)"), 1), lambda x: F.struct(F.substring_index(x, "=", 1).alias("k"), F.substring(x, F.instr(x, "=") + F.lit(1), F.length(x)).alias("v")))
+    pairs = F.transform(F.regexp_extract_all("message", F.lit(r"(\w+=\S+)"), 1), lambda x: F.struct(F.substring_index(x, "=", 1).alias("k"), F.substring(x, F.instr(x, "=") + F.lit(1), F.length(x)).alias("v")))
     # Of a name that repeats the last value counts.
     last = F.filter(pairs, lambda x, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda y: y["k"] == x["k"]))
     return rows.withColumn("fields", F.map_from_entries(last))

@@ -1,9 +1,12 @@
 """Statements against versioned tables, transactions, CSV and the command line."""
 
+import dataclasses
 import io
+import json
 import os
 import subprocess
 import sys
+import threading
 
 import pytest
 
@@ -12,7 +15,7 @@ from tessera.operators.engine import Engine
 from tessera.plans.binder import BindError
 from tessera.plans.parser import parse
 from tessera.sources.csv_text import CsvError, result_lines
-from tessera.sources.log_records import clean
+from tessera.sources.log_records import GROUPS, LogError, clean, records, summary, trial
 from tessera.sources.manifest import Catalog, ConflictError
 from tessera.sources.tables import ScanStats
 
@@ -132,6 +135,173 @@ def test_rebase_and_conflict(db, tmp_path):
     assert [r[0] for r in rows(Engine(e.spark, e.catalog.folder).execute(parse("SELECT * FROM t;")[0]))] == [4, 1]
 
 
+def test_outcomes_of_races(db, tmp_path):
+    """Statements on two threads that both have read before either commits: all pairs of COPY and DELETE."""
+    (tmp_path / "more.csv").write_text("1,E\n5,F\n")
+    copy, low, high, both = f"COPY t FROM '{tmp_path}/more.csv';", "DELETE FROM t WHERE id = 1;", "DELETE FROM t WHERE id = 4;", "DELETE FROM t WHERE id > 1;"
+    for k, (first, second, ids) in enumerate([(copy, copy, [1, 2, 3, 4, 1, 5, 1, 5]), (low, copy, [2, 3, 4, 1, 5]), (low, high, [2, 3]), (both, high, None), (low, both, None)]):
+        e = Engine(db(csv="1,A\n2,B\n3,C\n4,D\n", create=f"CREATE TABLE t{k} (id LONG, name STRING);").spark, str(tmp_path / f"race{k}"), max_rows=2)
+        e.go = lambda sql, e=e: e.execute(parse(sql)[0])
+        e.go("CREATE TABLE t (id LONG, name STRING);")
+        (tmp_path / "in.csv").write_text("1,A\n2,B\n3,C\n4,D\n")
+        e.go(f"COPY t FROM '{tmp_path}/in.csv';")
+        gate, turn, failed = threading.Barrier(2, timeout=120), threading.Event(), []
+        here = threading.local()
+
+        def before():
+            gate.wait()
+            if not here.first:
+                assert turn.wait(120)
+
+        e.catalog.before_commit = before
+
+        def go(sql, first):
+            here.first = first
+            try:
+                e.go(sql)
+            except ConflictError as c:
+                failed.append((first, c.base_version, c.current_version))
+            finally:
+                if first:
+                    turn.set()
+
+        threads = [threading.Thread(target=go, args=(sql, first)) for sql, first in ((first, True), (second, False))]
+        [t.start() for t in threads]
+        [t.join(180) for t in threads]
+        e.catalog.before_commit = None
+        got = sorted(r[0] for r in e.go("SELECT * FROM t;").rows.collect())
+        if ids is None:
+            assert failed == [(False, 1, 2)] and e.catalog.get("t").current.version == 2
+        else:
+            assert not failed and got == sorted(ids) and e.catalog.get("t").current.version == 3
+        left = {f.path.split("/")[0] for s in (e.catalog.get("t").current, e.catalog.get("t").previous) for f in s.files}
+        assert {x for x in os.listdir(e.catalog.data)} >= left
+
+
+def test_appended_lines_are_left_out(db, tmp_path, monkeypatch):
+    from tessera.sources import csv_text
+
+    e = db(csv="1\n2\n", create="CREATE TABLE t (i LONG);")
+    grown, real, asked = tmp_path / "grown.csv", csv_text.length, []
+    grown.write_text("3\n4\n")
+
+    def length(spark, path):
+        n = real(spark, path)
+        if not asked:  # right after its length was taken
+            with open(grown, "a") as f:
+                f.write("5\nbad\n")
+        asked.append(n)
+        return n
+
+    monkeypatch.setattr(csv_text, "length", length)
+    assert e.go(f"COPY t FROM '{grown}';").rows == 2 and len(asked) == 2
+    assert sorted(r[0] for r in rows(e.go("SELECT * FROM t;"))) == [1, 2, 3, 4]
+    with pytest.raises(CsvError, match="line 4: Invalid LONG"):
+        e.go(f"COPY t FROM 'file://{grown}';")
+    with pytest.raises(FileNotFoundError):
+        e.go(f"COPY t FROM '{tmp_path}/none.csv';")
+
+
+def test_version_overflow_comes_before_publication(db):
+    e = db()
+    t = e.catalog.get("trips")
+    last = 2**63 - 1
+    e.catalog.tables["trips"] = dataclasses.replace(t, current=dataclasses.replace(t.current, version=last), previous=dataclasses.replace(t.previous, version=last - 1))
+    files = sorted(os.listdir(e.catalog.data))
+    for sql in (f"COPY trips FROM '{e.csv}';", "DELETE FROM trips WHERE distance = 12;", "DELETE FROM trips;"):
+        with pytest.raises(OverflowError):
+            e.go(sql)
+    assert sorted(os.listdir(e.catalog.data)) == files and e.catalog.get("trips").current.version == last
+
+
+DAMAGED = {
+    "not JSON": lambda t: "{",
+    "no object": lambda t: [],
+    "an unsupported format": lambda t: t | {"format": 9},
+    "no id": lambda t: {k: v for k, v in t.items() if k != "id"},
+    "another id": lambda t: t | {"id": "0" * 32},
+    "no columns": lambda t: t | {"columns": []},
+    "an unknown type": lambda t: t | {"columns": [["a", "DATE"]]},
+    "a gap in its history": lambda t: t | {"current": t["current"] | {"version": 7}},
+    "a path outside": lambda t: _file(t, path="../x.parquet"),
+    "a lost file": lambda t: _file(t, path="stage-0/x.parquet"),
+    "no rows": lambda t: _file(t, rows=0),
+    "statistics of another type": lambda t: _file(t, stats=t["current"]["files"][0]["stats"] | {"distance": ["1", "2"]}),
+    "statistics the wrong way round": lambda t: _file(t, stats=t["current"]["files"][0]["stats"] | {"distance": [2, 1]}),
+    "NaN below a number": lambda t: _file(t, stats=t["current"]["files"][0]["stats"] | {"price": [{"double": "nan"}, {"double": "1.0"}]}),
+    "a column without statistics": lambda t: _file(t, stats={}),
+}
+
+
+def _file(t, **change):
+    files = t["current"]["files"]
+    return t | {"current": t["current"] | {"files": [files[0] | change, *files[1:]]}}
+
+
+def test_damaged_manifests_are_refused(db):
+    e = db()
+    path = os.path.join(e.catalog.catalogs, f"{e.catalog.get('trips').id}.json")
+    with open(path) as f:
+        good = f.read()
+    for what, change in DAMAGED.items():
+        bad = change(json.loads(good))
+        with open(path, "w") as f:
+            f.write(bad if isinstance(bad, str) else json.dumps(bad))
+        with pytest.raises(ValueError):
+            Catalog(e.catalog.folder)
+            pytest.fail(what)
+    with open(path, "w") as f:
+        f.write(good)
+    assert Catalog(e.catalog.folder).get("trips") == e.catalog.get("trips")
+
+
+def test_counters_of_operators(db, tmp_path):
+    e = db()
+    (tmp_path / "c.csv").write_text("Copenhagen,1\nCopenhagen,2\nOdense,3\nRibe,4\n")
+    e.go("CREATE TABLE cities (name STRING, n LONG);")
+    e.go(f"COPY cities FROM '{tmp_path}/c.csv';")
+    got = e.analyze(parse("SELECT * FROM cities, trips WHERE city = name AND distance < 150;")[0])
+    assert [dataclasses.astuple(c) for c in got] == [("scan", "cities", 4, 4, None, None), ("scan", "trips", 8, 8, None, None), ("filter", "trips", 8, 5, None, None), ("join", "trips", 4, 7, 5, 3)]
+
+
+def test_statistics_without_footers(db):
+    e = db(csv=f"NaN,{'x' * 3000}\n1.0,{'y' * 3000}\n", create="CREATE TABLE z (p DOUBLE, s STRING);", max_rows=10)
+    (f,) = e.catalog.get("z").current.files
+    assert f.stats["p"][0] == 1.0 and f.stats["p"][1] != f.stats["p"][1] and f.stats["s"] == ["x" * 3000, "y" * 3000]
+
+
+def test_timings_from_logs(spark, tmp_path):
+    log = str(tmp_path / "engine.log")
+    (tmp_path / "a.csv").write_text(TRIPS)
+    go = lambda sql: run(["-c", sql], io.StringIO(), io.StringIO(), data=str(tmp_path / "db"), log_path=log, spark=spark)
+    assert go(f"CREATE TABLE trips (city STRING, distance LONG, price DOUBLE); COPY trips FROM '{tmp_path}/a.csv';") == 0
+    took = trial(records(spark, log), rows=8, partitions=1)
+    assert took["duration_ms"] > 0 and took["rows_imported"] == 8
+    os.rename(log, f"{log}.1")
+    assert go("SELECT * FROM trips WHERE distance > 100;") == 0
+    took = trial(records(spark, log), rows=8, partitions=1, rows_out=4)
+    assert (took["rows_out"], took["partitions_total"], took["partitions_read"], took["partitions_pruned"]) == (4, 1, 1, 0)
+    for wrong in ({"rows_out": 5}, {"rows_out": 4, "partitions": 2}, {}):
+        with pytest.raises(LogError):
+            trial(records(spark, log), **{"rows": 8, "partitions": 1, **wrong})
+    with pytest.raises(LogError, match="one session"):
+        trial(records(spark, log, f"{log}.1"), rows=8, partitions=1)
+    assert go("SELECT * FROM missing_table;") == 1
+    with pytest.raises(LogError, match="ERROR"):
+        trial(records(spark, log), rows=8, partitions=1, rows_out=4)
+    # The session, the statement and the errors, as SQL over the imported log.
+    both = records(spark, log)
+    failed = both.where("level = 'ERROR'").first()
+    assert "missing_table" in failed.message and both.where(f"session = '{failed.session}'").count() > 1 and failed.statement == 1
+    (tmp_path / "odd.log").write_text("a,b\n")
+    with pytest.raises(Exception, match="Malformed log record"):
+        records(spark, str(tmp_path / "odd.log")).collect()
+    base = dict.fromkeys(GROUPS, "g") | {"cache_state": "controlled", "status": "complete", "fresh_jvm": True}
+    trials = [base | {"duration_ms": d, "repetition": k} for k, d in enumerate([5, 1, 4, 2, 9])] + [base | {"dataset": "few", "duration_ms": 1, "repetition": 0}, base | {"status": "failed", "duration_ms": 99, "repetition": 9}]
+    (r,) = summary(spark.createDataFrame(trials)).collect()
+    assert (r["count"], r.mean_ms, r.median_ms, r.min_ms, r.max_ms) == (5, 4.2, 4.0, 1, 9)
+
+
 def test_killed_before_the_rename_leaves_the_old_version(tmp_path):
     code = f"""
 import os
