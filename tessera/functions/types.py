@@ -8,7 +8,6 @@ from pyspark.sql import types as T
 
 SPARK = {"STRING": T.StringType(), "LONG": T.LongType(), "DOUBLE": T.DoubleType()}
 LITERALS = {"STRING": str, "LONG": int, "DOUBLE": float}
-_LONG = r"^[+-]?[0-9]+$"
 _DOUBLE = r"^[\x00-\x20]*[+-]?(?:NaN|Infinity|(?:(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?|0[xX](?:[0-9a-fA-F]+\.?|[0-9a-fA-F]*\.[0-9a-fA-F]+)[pP][+-]?[0-9]+)[fFdD]?)[\x00-\x20]*$"
 
 
@@ -35,8 +34,14 @@ def typed(text: Column, kind: str) -> tuple[Column, Column]:
     """(value, ok) of a CSV field: strictly typed text, ASCII strings, no blanks around numbers of type LONG."""
     if kind == "STRING":
         return text, ~text.rlike(r"[^\x00-\x7F]")
-    value = text.try_cast(SPARK[kind]) if kind == "LONG" else F.regexp_replace(text, r"[\x00-\x20]", "").try_cast(SPARK[kind])
-    return value, F.coalesce(text.rlike(_LONG if kind == "LONG" else _DOUBLE) & value.isNotNull(), F.lit(False))
+    value = text.try_cast(SPARK[kind])
+    if kind == "LONG":
+        # Apart from blanks and control characters at its ends a cast takes signs and digits only.
+        inner = F.ascii(text).between(33, 126) & F.ascii(F.right(text, F.lit(1))).between(33, 126)
+        return value, F.coalesce(value.isNotNull() & inner, F.lit(False))
+    # What a cast makes a finite number of is one in Java's grammar; other names of NaN and infinity are not.
+    value = F.coalesce(value, F.when(text.rlike(_DOUBLE), F.regexp_replace(text, r"[\x00-\x20]", "").try_cast(SPARK[kind])))
+    return value, F.coalesce(value.isNotNull() & ((F.abs(value) < float("inf")) | text.rlike(_DOUBLE)), F.lit(False))
 
 
 def may_match(op: str, constant, low, high) -> bool:

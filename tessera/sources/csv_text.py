@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import shutil
 
+import pyarrow as pa
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.functions.types import typed
+from tessera.functions.types import SPARK, typed
 
 
 class CsvError(ValueError):
@@ -57,7 +58,8 @@ def numbered_lines(spark: SparkSession, path: str) -> tuple[DataFrame, int]:
     if not shifts:
         return raw.select("line", F.lit(0).cast("long").alias("ordinal")), 0
     # Joined by size: a few splits are broadcast, and of many none is sent to all.
-    shift = spark.createDataFrame(shifts, "block long, shift long")
+    blocks, moves = zip(*shifts)
+    shift = spark.createDataFrame(pa.table({"block": pa.array(blocks, pa.int64()), "shift": pa.array(moves, pa.int64())}))
     return raw.join(shift, "block").select("line", (F.col("mid") + F.col("shift")).alias("ordinal")), at
 
 
@@ -75,10 +77,14 @@ def _checked(columns: list[tuple[str, str]]) -> tuple[list[Column], list[Column]
 
 def typed_rows(lines: DataFrame, columns: list[tuple[str, str]]) -> DataFrame:
     """(ordinal, columns) of lines. A job that meets a bad line fails; first_error() then tells which is the first."""
-    values, checks = _checked(columns)
-    rows = lines.select("ordinal", F.split("line", ",", -1).alias("fields"))
-    why = F.coalesce(*checks)
-    return rows.where(F.when(why.isNull(), F.lit(True)).otherwise(F.raise_error(why).cast("boolean"))).select("ordinal", *values)
+    rows = lines.select("ordinal", F.split("line", ",", -1).alias("fields"), F.is_valid_utf8("line").alias("valid"), (F.octet_length("line") == F.length("line")).alias("ascii"))
+    sound, out = (F.size("fields") == len(columns)) & F.col("valid") & F.col("ascii"), []
+    for i, (name, kind) in enumerate(columns):
+        # A line is held against ASCII as a whole: what is not fails in a field of any type.
+        field = F.get("fields", F.lit(i))
+        value, ok = (field, F.lit(True)) if kind == "STRING" else typed(field, kind)
+        out.append(F.when(sound & ok, value).otherwise(F.raise_error(F.lit("bad line")).cast(SPARK[kind])).alias(name))
+    return rows.select("ordinal", *out)
 
 
 def first_error(lines: DataFrame, columns: list[tuple[str, str]], source: str) -> CsvError | None:

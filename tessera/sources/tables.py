@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 from dataclasses import dataclass
 
+import pyarrow as pa
 import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -74,7 +75,7 @@ def footers(catalog: Catalog, paths: list[str], columns: list[str]) -> dict[str,
 
 def with_place(spark: SparkSession, df: DataFrame, files: list[DataFile]) -> DataFrame:
     """df of read_files with __file (position among files) and __row (place in the file)."""
-    names = spark.createDataFrame([(f.path, k) for k, f in enumerate(files)], "__name string, __file int")
+    names = spark.createDataFrame(pa.table({"__name": pa.array([f.path for f in files], pa.string()), "__file": pa.array(range(len(files)), pa.int32())}))
     placed = df.select("*", file_key().alias("__name"), F.col("_metadata.row_index").alias("__row"))
     # Joined by size: the names of a few files are broadcast, those of very many are not.
     return placed.join(names, "__name").drop("__name")

@@ -338,3 +338,23 @@ def test_command_line(spark, tmp_path):
 def test_result_quoting(spark):
     df = spark.createDataFrame([('a"b', 1, -0.0), ("x,y", 2, 1e10)], "s string, n long, d double")
     assert sorted(r.line for r in result_lines(df).collect()) == ['"a""b",1,-0.0', '"x,y",2,1.0E10']
+
+
+def test_numbers_are_parsed_strictly(spark):
+    import re
+
+    from tessera.functions.types import typed
+
+    signs, ends = ["", "+", "-"], ["", " ", "\t", "\x00", "\x7f", "\n", " "]
+    longs = ["0", "7", "9223372036854775807", "9223372036854775808", "1.0", "1e3", "", "-", "0x1", "1L", "1_0", "٣", "1 2"]
+    doubles = [*longs, ".5", "5.", ".", "1e", "1e5", "1e999", "1f", "1D", "0x1p3", "0x1", "NaN", "nan", "Infinity", "inf", "INFINITY", "1,0"]
+    texts = sorted({a + s + x + z for x in longs + doubles for s in signs for a in ends for z in ends})
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    strict = re.compile(r"[\x00-\x20]*[+-]?(NaN|Infinity|(([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?|0[xX]([0-9a-fA-F]+\.?|[0-9a-fA-F]*\.[0-9a-fA-F]+)[pP][+-]?[0-9]+)[fFdD]?)[\x00-\x20]*")
+    value, ok = typed(df.t, "LONG")
+    for r in df.select("t", value.alias("v"), ok.alias("ok")).collect():
+        good = re.fullmatch("[+-]?[0-9]+", r.t, re.A) is not None and -(2**63) <= int(r.t) < 2**63
+        assert r.ok == good and (not good or r.v == int(r.t)), repr(r.t)
+    value, ok = typed(df.t, "DOUBLE")
+    for r in df.select("t", value.alias("v"), ok.alias("ok")).collect():
+        assert r.ok == (strict.fullmatch(r.t) is not None) and (not r.ok or r.v is not None), repr(r.t)
