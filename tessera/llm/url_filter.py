@@ -83,8 +83,11 @@ def link_edges(pages: DataFrame, *, url_col: str = "url", html_col: str = "html"
     refresh = F.transform(metas, lambda t: F.regexp_extract(t, r"(?i)\burl\s*=\s*[\"']?([^\"'\s>]+)", 1))
     likely = F.lower(html).rlike(r"canonical|http-equiv")
     found = pages.where(likely).select(F.col(url_col).alias("url"), F.explode(F.array_distinct(F.concat(canonical, refresh))).alias("to")).where("to <> '' and url is not null")
+    # Step by step, and past a generator, so that the plan holds each long expression once.
     found = found.withColumn("to", _decoded(F.col("to")))
-    return found.select(address(F.col("url")).alias("u"), address(_resolved(F.col("to"), F.col("url"))).alias("v")).where("v is not null and u <> v")
+    found = found.withColumn("to", _resolved(F.col("to"), F.col("url")))
+    edge = F.array(F.struct(address(F.col("url")).alias("u"), address(F.col("to")).alias("v")))
+    return found.select(F.explode(F.filter(edge, lambda e: e["v"].isNotNull() & (e["u"] != e["v"]))).alias("e")).select("e.u", "e.v")
 
 
 def _decoded(text: Column) -> Column:
