@@ -14,6 +14,7 @@ the limit is doubled.
 
 from __future__ import annotations
 
+import itertools
 import math
 
 import numpy as np
@@ -27,36 +28,58 @@ _A, _B, _C, _D = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), n
 def mix(x: np.ndarray) -> np.ndarray:
     """A mixing of 64-bit integers (the finaliser of splitmix64)."""
     x = x + _A
-    x = (x ^ (x >> np.uint64(30))) * _B
-    x = (x ^ (x >> np.uint64(27))) * _C
-    return x ^ (x >> np.uint64(31))
+    for shift, factor in ((np.uint64(30), _B), (np.uint64(27), _C)):
+        x ^= x >> shift
+        x *= factor
+    x ^= x >> np.uint64(31)
+    return x
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
     return ((x >> np.uint64(11)).astype(np.float64) + 0.5) / (1 << 53)
 
 
-def word_hash(word: str) -> int:
-    return xxhash.xxh3_64_intdigest(word)
+#: 64 bits of a word; quicker than a look into a memo.
+word_hash = xxhash.xxh3_64_intdigest
 
 
 def words_of(text: str | None) -> list[str]:
     return (text or "").lower().split()
 
 
-def shingles(words: list[str], hashes, n: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
+def shingles(words: list[str], hashes=word_hash, n: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingles of n words as 64-bit hashes, sorted, and their counts.
 
     Fewer than n words, but some, are one shingle.
     """
-    if not words:
-        return np.empty(0, np.uint64), np.empty(0, np.int64)
-    h = np.fromiter(map(hashes, words), np.uint64, len(words))
-    size = min(n, len(h))
-    x = np.full(len(h) - size + 1, size, np.uint64)
-    for i in range(size):
-        x = mix(x ^ h[i : len(h) - size + 1 + i])
-    return np.unique(x, return_counts=True)
+    return shingle_sets([words], hashes, n)[0]
+
+
+def shingle_sets(texts: list[list[str]], hashes=word_hash, n: int = WORDS) -> list[tuple[np.ndarray, np.ndarray]]:
+    """shingles() of several texts, hashed together."""
+    h = np.fromiter(map(hashes, itertools.chain.from_iterable(texts)), np.uint64, sum(map(len, texts)))
+    full, out, at = _windows(h, n), [], 0
+    for words in texts:
+        k = len(words)
+        x = full[at : at + k - n + 1] if k >= n else _windows(h[at : at + k], k) if k else full[:0]
+        out.append(_counted(x))
+        at += k
+    return out
+
+
+def _windows(h: np.ndarray, n: int) -> np.ndarray:
+    """One hash for each n hashes in a row."""
+    x = np.full(max(len(h) - n + 1, 0), n, np.uint64)
+    for i in range(n):
+        x = mix(x ^ h[i : i + len(x)])
+    return x
+
+
+def _counted(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values, sorted, and their counts."""
+    x = np.sort(x)
+    at = np.flatnonzero(np.concatenate([x[:1] == x[:1], x[1:] != x[:-1]]))
+    return x[at], np.diff(at, append=len(x))
 
 
 def signatures(sets: list[tuple[np.ndarray, np.ndarray]], k: int = K) -> np.ndarray:
@@ -70,11 +93,11 @@ def signatures(sets: list[tuple[np.ndarray, np.ndarray]], k: int = K) -> np.ndar
         limit = k * (math.log(k) + spare) / np.bincount(at, weights=w)
         owner, ranks, darts = _throw(x, w, at, limit)
         slot = owner * k + (mix(darts ^ _C) % np.uint64(k)).astype(np.int64)
-        order = np.argsort(-ranks, kind="stable")
-        filled, best = np.zeros(len(todo) * k, bool), np.zeros(len(todo) * k, np.uint64)
-        filled[slot] = True
-        best[slot[order]] = darts[order]  # the smallest rank comes last and stays
-        done = filled.reshape(-1, k).all(1)
+        least, best = np.full(len(todo) * k, np.inf), np.zeros(len(todo) * k, np.uint64)
+        np.minimum.at(least, slot, ranks)
+        first = ranks == least[slot]
+        best[slot[first]] = darts[first]
+        done = np.isfinite(least).reshape(-1, k).all(1)
         out[np.array(todo)[done]] = best.reshape(-1, k)[done]
         todo, spare = [i for i, ok in zip(todo, done) if not ok], 2 * spare + math.log(k)
     return out
@@ -91,10 +114,14 @@ def _throw(x: np.ndarray, w: np.ndarray, at: np.ndarray, limit: np.ndarray):
         n, some = 0, 1
         while len(base):
             e = mix(base[:, None] + np.arange(n, n + some, dtype=np.uint64) * _D)
+            if n == 0:
+                # Most elements of a long text have no dart below the limit: they go before logarithms are taken, with room for rounding.
+                some_near = _unit(e[:, 0]) >= np.exp(-most * width) * (1 - 1e-9)
+                e, r, base, weight, of, most = e[some_near], r[some_near], base[some_near], weight[some_near], of[some_near], most[some_near]
             rank = r[:, None] - np.cumsum(np.log(_unit(e)), axis=1) / width
             hit = near = rank <= most[:, None]
             # An element of weight 1 or more owns all of [0, 1).
-            if low > 0 or weight.min() < 1:
+            if low > 0 or len(weight) and weight.min() < 1:
                 hit = near & (low + width * _unit(mix(e ^ _B)) < weight[:, None])
             owner.append(of[np.nonzero(hit)[0]])
             ranks.append(rank[hit])
@@ -111,11 +138,11 @@ def signature(x: np.ndarray, w: np.ndarray, k: int = K) -> np.ndarray:
 
 
 def band_keys(sig: np.ndarray, bands: int = BANDS) -> np.ndarray:
-    """A 64-bit key for each band of a signature; differs by band."""
-    rows = sig.reshape(bands, -1)
+    """A 64-bit key for each band of a signature, or of each of several; differs by band."""
+    rows = sig.reshape(*sig.shape[:-1], bands, -1)
     x = np.arange(bands, dtype=np.uint64)
-    for i in range(rows.shape[1]):
-        x = mix(x ^ rows[:, i])
+    for i in range(rows.shape[-1]):
+        x = mix(x ^ rows[..., i])
     return x.view(np.int64)
 
 

@@ -32,8 +32,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Memo, Written, connected_components, map_rows, read
-from tessera.llm.dart_sketch import K, WORDS, band_keys, shingles, signatures, similarity, weighed, word_hash, words_of
+from tessera.llm.common import Written, connected_components, map_rows, read
+from tessera.llm.dart_sketch import K, WORDS, band_keys, shingle_sets, shingles, signatures, similarity, weighed, words_of
 
 THRESHOLD, SLACK = 0.8, 0.25
 #: Rounds of pivots, and members of a chunk of what these leave.
@@ -49,7 +49,7 @@ def sketch(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", w
     import xxhash
 
     def make():
-        hashes, at = Memo(word_hash), TaskContext.get().partitionId() << 36
+        at = TaskContext.get().partitionId() << 36
 
         def run(rows):
             nonlocal at
@@ -57,10 +57,11 @@ def sketch(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", w
             for i in range(0, len(rows["id"]), 64):
                 texts = rows["text"][i : i + 64]
                 split = [words_of(t) for t in texts]
-                sigs = signatures([weighed(*shingles(w, hashes.__getitem__, words), weights) for w in split])
-                for key, text, w, sig in zip(rows["id"][i : i + 64], texts, split, sigs):
+                sigs = signatures([weighed(*x, weights) for x in shingle_sets(split, n=words)])
+                keys = band_keys(sigs).tolist()
+                for key, text, w, sig, bands in zip(rows["id"][i : i + 64], texts, split, sigs, keys):
                     digest = xxhash.xxh3_128_digest(" ".join(w)) if w else None
-                    row = (at, key, text if w else None, *(np.frombuffer(digest, "<i8").tolist() if w else (at, -1)), band_keys(sig).tolist() if w else [], (sig & np.uint64(255)).astype(np.uint8).tobytes())
+                    row = (at, key, text if w else None, *(np.frombuffer(digest, "<i8").tolist() if w else (at, -1)), bands if w else [], (sig & np.uint64(255)).astype(np.uint8).tobytes())
                     for name, x in zip(out, row):
                         out[name].append(x)
                     at += 1
@@ -90,8 +91,6 @@ def _verified(pairs: DataFrame, texts: DataFrame, threshold: float, words: int,
     both = pairs.join(texts.select(F.col("node").alias("x"), F.col("text").alias("tx")), "x").join(texts.select(F.col("node").alias("y"), F.col("text").alias("ty")), "y").select("x", "y", "tx", "ty")
 
     def make():
-        hashes = Memo(word_hash)
-
         def run(rows):
             last: dict[str, tuple] = {}
 
@@ -99,7 +98,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, threshold: float, words: int,
                 if text not in last:
                     if len(last) > 16:
                         last.clear()
-                    last[text] = weighed(*shingles(words_of(text), hashes.__getitem__, words), weights)
+                    last[text] = weighed(*shingles(words_of(text), n=words), weights)
                 return last[text]
 
             return {"x": rows["x"], "y": rows["y"], "ok": [similarity(of(a), of(b)) >= threshold for a, b in zip(rows["tx"], rows["ty"])]}
@@ -177,11 +176,11 @@ def _links(rows: DataFrame, cut: float, threshold: float, words: int, weights: s
     """Links (x, y) that connect nodes of different components; rows: those of _likely with their texts."""
 
     def run(t: pa.Table) -> pa.Table:
-        block, texts, hashes, sets = _Block(t, cut), t.column("text"), Memo(word_hash), {}
+        block, texts, sets = _Block(t, cut), t.column("text"), {}
 
         def of(a):
             if a not in sets:
-                sets[a] = weighed(*shingles(words_of(texts[a].as_py()), hashes.__getitem__, words), weights)
+                sets[a] = weighed(*shingles(words_of(texts[a].as_py()), n=words), weights)
             return sets[a]
 
         xs, ys, node, root = [], [], block.node, block.root
