@@ -163,3 +163,12 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     low, high = np.minimum(a[1][i], b[1][j]).sum(), np.maximum(a[1][i], b[1][j]).sum()
     total = high + (a[1].sum() - a[1][i].sum()) + (b[1].sum() - b[1][j].sum())
     return float(low / total) if total else 0.0
+
+
+def similarities(a: tuple[np.ndarray, np.ndarray], others: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """similarity() of a set to several others at once, but for rounding; none is empty."""
+    x, w = (np.concatenate(v) for v in zip(*others))
+    starts = np.cumsum([0, *(len(v) for v, _ in others[:-1])])
+    at = np.minimum(np.searchsorted(a[0], x), len(a[0]) - 1)
+    low = np.add.reduceat(np.where(a[0][at] == x, np.minimum(a[1][at], w), 0), starts)
+    return low / (a[1].sum() + np.add.reduceat(w, starts) - low)

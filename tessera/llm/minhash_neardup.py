@@ -26,6 +26,8 @@ slack = 1 compares every pair that shares a band.
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
@@ -33,11 +35,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import Written, connected_components, map_rows, read
-from tessera.llm.dart_sketch import K, WORDS, band_keys, shingle_sets, shingles, signatures, similarity, weighed, words_of
+from tessera.llm.dart_sketch import K, WORDS, band_keys, shingle_sets, shingles, signatures, similarities, similarity, weighed, words_of
 
 THRESHOLD, SLACK = 0.8, 0.25
 #: Rounds of pivots, and members of a chunk of what these leave.
 ROUNDS, CHUNK = 2, 256
+#: Texts of a chunk that are compared with one at once.
+TOGETHER = 32
 
 
 def sketch(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, weights: str = "counts") -> DataFrame:
@@ -185,11 +189,15 @@ def _links(rows: DataFrame, cut: float, threshold: float, words: int, weights: s
 
         xs, ys, node, root = [], [], block.node, block.root
         for a, r in block.partners():
-            for b in r:
-                if root[b] != root[a] and similarity(of(a), of(b)) >= threshold:
-                    xs.append(max(node[a], node[b]))
-                    ys.append(min(node[a], node[b]))
-                    root[root == root[b]] = root[a]
+            for k in range(0, len(r), TOGETHER):
+                part = [b for b in r[k : k + TOGETHER] if root[b] != root[a]]
+                # With room for rounding; what is near is compared once more, as everywhere.
+                near = similarities(of(a), [of(b) for b in part]) >= threshold - 1e-9 if part else []
+                for b in itertools.compress(part, near):
+                    if root[b] != root[a] and similarity(of(a), of(b)) >= threshold:
+                        xs.append(max(node[a], node[b]))
+                        ys.append(min(node[a], node[b]))
+                        root[root == root[b]] = root[a]
         return pa.table({"x": pa.array(xs, pa.int64()), "y": pa.array(ys, pa.int64())})
 
     return rows.groupBy("band", "key", "i", "j").applyInArrow(run, "x long, y long")

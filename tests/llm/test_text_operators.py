@@ -232,6 +232,18 @@ def jaccard(a, b, weights="counts"):
     return sum(min(n, s[1][k]) for k, n in s[0].items() if k in s[1]) / total if total else 0.0
 
 
+@pytest.mark.parametrize("weights", WEIGHTS)
+def test_shingles_and_similarities_of_several_texts_equal_those_of_one(weights):
+    rng = random.Random(9)
+    texts = [[rng.choice("abc") for _ in range(n)] for n in (0, 1, 4, 5, 6, 90, 0, 300)]
+    sets = [dart.shingles(t) for t in texts]
+    for (x, n), (y, m), t in zip(sets, dart.shingle_sets(texts), texts):
+        assert (x == y).all() and (n == m).all() and n.sum() == (max(1, len(t) - 4) if t else 0)
+    some = [dart.weighed(*x, weights) for x in sets if len(x[0])]
+    for a in some:
+        assert np.abs(dart.similarities(a, some) - [dart.similarity(a, b) for b in some]).max() < 1e-12
+
+
 @pytest.mark.parametrize("scale", [1.0, 0.37, 0.05])
 def test_signatures_estimate_weighted_similarity(scale):
     rng = np.random.default_rng(6)
