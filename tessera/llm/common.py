@@ -89,11 +89,11 @@ class Written:
     def _path(self, path: str):
         return self.spark._jvm.org.apache.hadoop.fs.Path(path)
 
-    def write(self, df: DataFrame) -> DataFrame:
+    def write(self, df: DataFrame, **options) -> DataFrame:
         """Write df and read it back: what follows does not recompute df."""
         path = f"{self.base}/{self.n}"
         self.n += 1
-        df.write.parquet(path)
+        df.write.options(**options).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.frames[id(out)] = out, path
         return out

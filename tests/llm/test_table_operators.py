@@ -1,5 +1,6 @@
 """Operators on pages, conversations and vectors, and the pipeline, with odd rows."""
 
+import os
 import random
 import time
 from collections import Counter
@@ -216,6 +217,26 @@ def test_blocks_are_pruned_only_below_the_kth_score(spark):
         assert s[r.vec_id] == r.score and sum(s[i] > r.score for i in range(len(rows)) if i != r.query_id) < r["rank"]
 
 
+def test_searches_write_no_copy_of_a_query_for_each_shard(spark, monkeypatch):
+    for name, value in {"BLOCK": 16, "SHARD": 1, "CHUNK": 2400, "TILE": 70, "HELD": 50}.items():
+        monkeypatch.setattr(topk, name, value, raising=False)
+    x = np.random.default_rng(3).normal(size=(3000, 16))
+    x[2500:] = x[7]  # a large group of copies
+    m = np.floor(256 * x.astype(np.float32)).astype(int)
+    rows = [(i, [float(np.float32(y)) for y in v]) for i, v in enumerate(x)] + [(9001, [3e17] * 16), (9002, [-3e17] * 16)]
+    shared, log = spark.conf.get("spark.checkpoint.dir").removeprefix("file://"), {}
+    size = lambda: sum(os.path.getsize(os.path.join(d, f)) for d, _, fs in os.walk(shared) for f in fs)
+    before = size()
+    found = topk.search(vectors(spark, rows), every=10, log=log).where("vec_id < 9000 and query_id < 9000").collect()
+    written = size() - before
+    # One of the two far vectors is each query's best: it is scored in whole numbers.
+    for q in range(0, 3000, 10):
+        got = [(-r.score, r.vec_id) for r in sorted(found, key=lambda r: r["rank"]) if r.query_id == q]
+        s = m @ m[q]
+        assert got == sorted((-int(y), i) for i, y in enumerate(s) if i != q)[: len(got)] and len(got) == 4
+    assert log["scored"] <= log["visited"] <= log["all"] and written < 1_500_000, written
+
+
 def test_embedding_links_equal_brute_force(spark):
     rows = sample(3)
     got = {r.vec_id: r for r in emb.near_duplicates(vectors(spark, rows + ODD), chunk=60, sample=50).collect()}
