@@ -22,7 +22,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null and empty texts have the score of no features; repeated rows go or stay
     together. Without labels all stay.
     """
-    return quality_classifier.keep_good(docs, quality_classifier.train(docs, read(spark, sf_dir, "labels")))
+    return quality_classifier.keep_good(docs, quality_classifier.train(docs, read(spark, sf_dir, "labels"), sample=None))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import map_rows, map_texts, read
+from tessera.llm.common import Written, map_rows, map_texts, read
 
 #: Score from which on a document counts as good.
 CUT = 0.3
@@ -73,6 +73,96 @@ def fit(x: np.ndarray, y: np.ndarray, *, pairs: int = PAIRS, seed: int = 0) -> d
     return {"mean": mean.tolist(), "scale": scale.tolist(), "w": w.tolist(), "cut": cut, "slope": slope}
 
 
+def fit_all(rows: DataFrame, bins: int = 128) -> dict:
+    """fit() of rows (y, x) of any number, over all pairs, in passes of which only sums reach the driver.
+
+    A step of Newton needs sums over pairs of functions of their scores'
+    difference: those of rows of each class in narrow ranges of the score give
+    them, with a range's mean as the score of its rows.
+    """
+    import pyarrow as pa
+
+    def total(make) -> np.ndarray:
+        def run(batches):
+            out = None
+            for b in batches:
+                if b.num_rows:
+                    v = make(b.column("x").flatten().to_numpy().reshape(b.num_rows, -1), b.column("y").to_numpy())
+                    out = v if out is None else out + v
+            if out is not None:
+                yield pa.RecordBatch.from_pydict({"v": pa.array([out.astype("<f8").tobytes()], pa.binary())})
+
+        # At most 64 tasks, of less than a MB each for the driver.
+        return sum(np.frombuffer(r.v) for r in rows.coalesce(64).mapInArrow(run, "v binary").collect())
+
+    first = total(lambda x, y: np.concatenate([[len(y), y.sum()], x.sum(0)]))
+    n, n_good = int(first[0]), int(first[1])
+    if n_good in (0, n):
+        return {"constant": float(n_good > 0)}
+    mean = first[2:] / n
+    scale = np.sqrt(total(lambda x, y: ((x - mean) ** 2).sum(0)) / n)
+    scale[scale < 1e-9] = 1.0
+    d, pairs = len(mean), n_good * (n - n_good)
+    unit = lambda x: np.clip((x - mean) / scale, -8, 8)
+
+    def binned(s: np.ndarray, y: np.ndarray, low: float, high: float, k: int) -> np.ndarray:
+        return y * k + np.clip((s - low) / (high - low) * k, 0, k - 1).astype(int)
+
+    w = np.zeros(d)
+    for _ in range(30):
+
+        def moments(x, y, w=w):
+            z = unit(x)
+            at = binned(z @ w, y, -8, 8, bins)
+            out = np.zeros((2 * bins, 1 + d + d * d))
+            for b in np.unique(at):
+                some = z[at == b]
+                out[b] = np.concatenate([[len(some)], some.sum(0), (some.T @ some).ravel()])
+            return out
+
+        m = total(moments).reshape(2, bins, -1)
+        count, z, zz = m[:, :, 0], m[:, :, 1 : d + 1], m[:, :, d + 1 :].reshape(2, bins, d, d)
+        mid = (z @ w) / np.maximum(count, 1)
+        p = 1 / (1 + np.exp(-np.clip(mid[1][:, None] - mid[0][None, :], -30, 30)))
+        c, h = 1 - p, p * (1 - p)
+        grad = ((c @ count[0]) @ z[1] - (count[1] @ c) @ z[0]) / pairs - 1e-3 * w
+        cross = z[1].T @ h @ z[0]
+        hess = (np.tensordot(h @ count[0], zz[1], 1) + np.tensordot(count[1] @ h, zz[0], 1) - cross - cross.T) / pairs + 1e-3 * np.eye(d)
+        step = np.linalg.solve(hess, grad)
+        w = w + step
+        if np.abs(step).max() < 1e-6:
+            break
+    # The k-th smallest score, k bad labels, by ever narrower ranges.
+    low, below, k = -8 * float(np.abs(w).sum()) - 1, 0, n - n_good
+    high = -low
+    for _ in range(3):
+
+        def shares(x, y, low=low, high=high):
+            s = unit(x) @ w
+            s = s[(s >= low) & (s < high)]
+            return np.bincount(binned(s, np.zeros(len(s), int), low, high, 1024), minlength=1024).astype(float)
+
+        counts = below + np.cumsum(total(shares))
+        b = min(int(np.searchsorted(counts, k)), 1023)
+        below = int(counts[b - 1]) if b else below
+        low, high = low + (high - low) * b / 1024, low + (high - low) * (b + 1) / 1024
+    cut, far = float(high), 8 * float(np.abs(w).sum()) + 1
+
+    def around(x, y):
+        s = unit(x) @ w - cut
+        at = binned(s, y, -2 * far, 2 * far, 2048)
+        return np.concatenate([np.bincount(at, minlength=4096), np.bincount(at, s, minlength=4096)]).astype(float)
+
+    count, s = total(around).reshape(2, 4096)
+    s, y = s / np.maximum(count, 1), np.arange(4096) >= 2048
+    slope = 1.0
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(slope * s, -30, 30)))
+        g, h = float((count * (y - p) * s).sum()) - 1e-2 * slope, float((count * p * (1 - p) * s**2).sum()) + 1e-2
+        slope = max(1e-3, slope + max(-1.0, min(1.0, g / h)))
+    return {"mean": mean.tolist(), "scale": scale.tolist(), "w": w.tolist(), "cut": cut, "slope": slope}
+
+
 def scores(model: dict, x: np.ndarray) -> np.ndarray:
     if "constant" in model:
         return np.full(len(x), model["constant"])
@@ -86,9 +176,10 @@ def held_out(id_col: str):
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
-def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> dict:
-    """Learn from labelled rows that aren't held out: at most sample labels, by smallest hash of the id.
+def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sample: int | None = SAMPLE) -> dict:
+    """Learn from labelled rows that aren't held out: at most sample labels, by smallest hash of the id, or all if sample is None.
 
+    All rows are learned from by fit() up to SAMPLE of them, else by fit_all().
     The sample is bounded whatever the input is; ids in it are sent to all
     executors, and its features to the driver. Rows with null labels or ids are
     left out; an id with several labels or texts counts with each, and of these
@@ -96,17 +187,32 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     Without any, every score is 1.
     """
     known = labels.select(F.col(id_col).cast("long").alias("id"), F.col("quality").cast("int").alias("y")).where(F.col("id").isNotNull() & F.col("y").isin(0, 1)).where(~held_out("id"))
-    some = known.orderBy(F.xxhash64("id"), "id", "y").limit(sample)
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(F.broadcast(some), "id")
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    some = known if sample is None else F.broadcast(known.orderBy(F.xxhash64("id"), "id", "y").limit(sample))
+    rows = texts.join(some, "id")
     # An id may have any number of rows: then the smallest hashes bound what is learned from.
-    if rows.select("id").count() > sample:
+    if sample is not None and rows.select("id").count() > sample:
         rows = rows.withColumn("place", F.xxhash64("id", "text", "y"))
         rows = rows.where(F.col("place") <= rows.select("place").orderBy("place").limit(sample).agg(F.max("place")).first()[0])
 
     def make():
         return lambda rows: {"id": rows["id"], "y": rows["y"], "x": [features(t) for t in rows["text"]]}
 
-    found = sorted((r.id, r.y, r.x) for r in map_rows(rows.select("id", "y", "text"), make, "id long, y int, x array<double>", "text").collect())
+    if sample is None:
+        # Features first: whole texts are not shuffled.
+        plain = lambda: lambda rows: {"id": rows["id"], "x": [features(t) for t in rows["text"]]}
+        learned = map_rows(texts, plain, "id long, x array<double>", "text").join(known, "id").select("id", "y", "x")
+        store = Written(docs.sparkSession)
+        try:
+            learned = store.write(learned)
+            if learned.count() > SAMPLE:
+                return fit_all(learned)
+            found = learned.collect()
+        finally:
+            store.close()
+    else:
+        found = map_rows(rows.select("id", "y", "text"), make, "id long, y int, x array<double>", "text").collect()
+    found = sorted((r.id, r.y, r.x) for r in found)
     if not found:
         return {"constant": 1.0}
     return fit(np.array([r[2] for r in found]), np.array([r[1] for r in found]))
@@ -136,4 +242,4 @@ def keep_good(docs: DataFrame, model: dict, *, text_col: str = "text") -> DataFr
 
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
-    return score(docs, train(docs, read(spark, sf_dir, "labels")))
+    return score(docs, train(docs, read(spark, sf_dir, "labels"), sample=None))

@@ -206,3 +206,24 @@ def test_a_repeated_id_does_not_grow_what_is_learned_from(spark, monkeypatch):
     quality.train(docs, labels, sample=50)
     quality.train(docs, labels)
     assert seen == [50, 502]
+
+
+def test_all_labels_are_learned_from(spark, monkeypatch):
+    """Above SAMPLE rows, too: weights, cut and slope are those of fit() on all rows."""
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(4000, 3))
+    y = (x @ np.array([1.5, -1.0, 0.0]) + rng.normal(size=4000) > 0.5).astype(int)
+    rows = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(zip(y.tolist(), x.tolist()))], "id long, y int, x array<double>")
+    got, plain = quality.fit_all(rows), quality.fit(x, y)
+    assert np.allclose(got["mean"], plain["mean"]) and np.allclose(got["scale"], plain["scale"])
+    assert np.abs(np.array(got["w"]) - plain["w"]).max() < 0.05 and abs(got["slope"] - plain["slope"]) < 0.05
+    s = np.clip((x - np.array(got["mean"])) / np.array(got["scale"]), -8, 8) @ np.array(got["w"])
+    assert (s < got["cut"]).sum() == (y == 0).sum()
+    ids = [k for k in range(200) if zlib.crc32(str(k).encode()) % 5]
+    docs = spark.createDataFrame([(k, "good text" if k % 3 else "| | !") for k in ids], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k % 3 > 0), 0) for k in ids], "doc_id long, quality int, toxic int")
+    seen, whole = [], quality.fit_all
+    monkeypatch.setattr(quality, "SAMPLE", 50)
+    monkeypatch.setattr(quality, "fit_all", lambda rows: seen.append(rows.count()) or whole(rows))
+    model = quality.train(docs, labels, sample=None)
+    assert seen == [len(ids)] and quality.keep_good(docs, model).count() == sum(k % 3 > 0 for k in ids)
